@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
+from loomspark.llm.sharding import shard_documents
 from loomspark.llm.token_counts import token_counts
+from loomspark.llm.token_files import token_file_digests
+from loomspark.llm.warc import archived_pages
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +22,20 @@ def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(read(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op5_token_files, op6_warc, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
