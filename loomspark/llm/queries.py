@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
 from loomspark.llm.sharding import shard_documents
+from loomspark.llm.simhash import near_duplicates
 from loomspark.llm.token_counts import token_counts
 from loomspark.llm.token_files import token_file_digests
 from loomspark.llm.warc import archived_pages
@@ -22,6 +23,10 @@ def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(read(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op5_token_files, op6_warc, op7_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op4_simhash, op5_token_files, op6_warc, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
