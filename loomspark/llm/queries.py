@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
+from loomspark.llm.decontamination import contaminated
 from loomspark.llm.quality import quality_rules
 from loomspark.llm.sharding import shard_documents
 from loomspark.llm.simhash import near_duplicates
@@ -44,8 +45,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op4_simhash, op5_token_files, op6_warc, op7_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op4_simhash, op5_token_files, op6_warc, op7_sharding, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
