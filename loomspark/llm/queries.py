@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
 from loomspark.llm.decontamination import contaminated
+from loomspark.llm.pii import pseudonymised
 from loomspark.llm.quality import quality_rules
 from loomspark.llm.sharding import shard_documents
 from loomspark.llm.simhash import near_duplicates
@@ -25,6 +26,10 @@ def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(read(spark, sf_dir, "documents"), counts="n_entities").select("doc_id", "text", "n_entities")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op4_simhash, op5_token_files, op6_warc, op7_sharding, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
