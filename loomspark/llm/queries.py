@@ -13,6 +13,7 @@ from loomspark.llm.pii import pseudonymised
 from loomspark.llm.quality import quality_rules
 from loomspark.llm.sharding import shard_documents
 from loomspark.llm.simhash import near_duplicates
+from loomspark.llm.suffix_dedup import removal_digests
 from loomspark.llm.token_counts import token_counts
 from loomspark.llm.token_files import token_file_digests
 from loomspark.llm.warc import archived_pages
@@ -46,6 +47,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,7 +60,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op9_quality_rules, op10_decontamination)}
+    found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
