@@ -103,12 +103,12 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
     return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and mean_weight: one
     row for each row of ``docs``.
 
     mean_weight is in nats a gram; null for a text without words, which has failed the base rules. Null text has no
-    words. Repeated rows and null ids stay; other columns are ignored, and nothing is kept or dropped by doc_id.
+    words. keyed: a further column, digest, is the text's hash. Repeated rows and null ids stay; other columns are ignored, and nothing is kept or dropped by doc_id.
     """
     table = weights(docs, labels, buckets, trusted)  # at most one row for each bucket
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -124,4 +124,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     )
     verdict = total.withColumn("mean_weight", F.expr(f"try_divide(cast(weight as double), grams * cast({UNIT} as double))"))
     verdict = verdict.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("weight") >= F.col("grams") * F.lit(round(threshold * UNIT)), F.lit(False)))
-    return verdict.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*keys, "kept", "mean_weight")
+    return verdict.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*keys, "kept", "mean_weight", *(["digest"] if keyed else []))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that the quality rules keep."""
+    verdicts = quality_rules(docs, labels, buckets, trusted, threshold, keyed=True)
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    gone = verdicts.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    # rows of one id and text have one verdict
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")

@@ -31,7 +31,7 @@ HOT = 1 << 14
 #: Cost of a verified candidate, as a share of that of a shuffled probe.
 CANDIDATE_COST = 0.05
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
 PROBES = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("probe", pa.bool_()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -62,7 +62,7 @@ def majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+    """doc_id, digest (a hash of the text), fp (the 64 bits as a signed long) of each row."""
 
     def compute(batches):
         for batch in batches:
@@ -73,10 +73,11 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
                 hashes += found
                 sizes.append(len(found))
                 if len(hashes) > 300_000 or k == len(texts) - 1:
-                    yield arrow({"doc_id": ids[begin : k + 1], "fp": majority(hashes, sizes).view(np.int64)}, FINGERPRINTS)
+                    yield arrow({"doc_id": ids[begin : k + 1], "digest": batch.column(2)[begin : k + 1], "fp": majority(hashes, sizes).view(np.int64)}, FINGERPRINTS)
                     hashes, sizes, begin = [], [], k + 1
 
-    return id_and_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
+    rows = id_and_text(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(compute, "doc_id long, digest long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -249,6 +250,16 @@ def by_middle(fps: DataFrame, radius: int) -> DataFrame:
     return words.join(least.select("word", "a"), "word").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
+def near_groups(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """doc_id, digest, fp, root (a group's smallest fingerprint), component_id of each row."""
+    fps = through_table(fingerprints(docs, width, seed), "fingerprints")
+    distinct = through_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = through_table(connected_components(linked(distinct, radius, hot)), "fingerprint-roots")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.select("fp", "root").join(smallest, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of ``docs``.
 
@@ -256,10 +267,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int
     null where all ids are. A text without words has fingerprint zero and is linked as any other; null text is
     empty. Repeated rows and ids stay; other columns are ignored.
     """
-    fps = through_table(fingerprints(docs, width, seed), "fingerprints")
-    distinct = through_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = through_table(connected_components(linked(distinct, radius, hot)), "fingerprint-roots")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = near_groups(docs, width, seed, radius, hot)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """One row of ``docs`` of each near-duplicate group, all columns unchanged: that of the smallest doc_id.
+
+    Null ids come after all others; of a group's rows that share the id, one of the text with the least fingerprint
+    stays. Null text is in the group of the empty one.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "digest")
+    kept = near_groups(docs, width, seed, radius, hot).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.digest").alias("kept_digest"))
+    mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
+    rows = mine.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["id", "digest"]).select("row.*")

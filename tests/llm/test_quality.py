@@ -71,3 +71,12 @@ def test_no_python_in_the_plan(spark, awkward):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     plan = quality.quality_rules(awkward, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_kept_documents(spark, awkward):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.kept_documents(awkward, labels)
+    assert kept.columns == awkward.columns
+    assert kept.collect() == []
+    long = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60)), "x") for i in [1, 2, 2, None]] + [(3, "short", "y")], "doc_id long, text string, kept string")
+    assert sorted((r.doc_id or 0) for r in quality.kept_documents(long, labels.limit(0)).collect()) == [0, 1, 2, 2]

@@ -100,3 +100,14 @@ def test_components(spark):
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = components([p for p in pairs if p[0] != p[1]])
     assert got == want
+
+
+def test_one_of_each_group(spark, awkward, no_rows):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in expected([(r.doc_id, fingerprint(r.text)) for r in docs.collect()])})
+    few = simhash.one_of_each_group(awkward)
+    assert few.columns == awkward.columns
+    assert sorted((r.doc_id, (r.text or "")[:12]) for r in few.collect() if r.doc_id is not None) == [(1, "The cat sat "), (1, "another text"), (2, ""), (5, "naïve café Α"), (6, "special <|en"), (7, "word word wo"), (8, "abcabcabcabc"), (9, "'s 't x's ''")]
+    assert simhash.one_of_each_group(no_rows).collect() == []
