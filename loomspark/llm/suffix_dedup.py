@@ -7,7 +7,9 @@ The starts that share a least gram form a run. Then
 
 1. runs are refined, within their gram's bucket, by all the bytes their strings cover: runs in one bucket are
    repeated as a whole, and a gram whose bucket has one run is done;
-2. what is left, runs whose gram is shared and whose bytes differ somewhere, is refined start by start: the bucket
+2. each string has ``SIDE`` bytes at least before or after its gram, so that the buckets of gram and bytes before, and
+   of gram and bytes after, leave only starts on a side that another run shares;
+3. what is left, runs whose gram and side are shared and whose bytes differ somewhere, is refined start by start: the bucket
    of a start at a depth of 2d is the pair of buckets of it and of the start d later at a depth of d. Each
    doubling reuses the buckets of the one before for all starts of a text, from GRAM up to LENGTH.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +35,14 @@ GRAM = 25
 BLOCK = 1 << 21
 NO_ID = -(1 << 63)
 
-RUN_SCHEMA = "a long, b long, lo int, hi int, gram long, c1 long, c2 long, whole boolean"
+SIDE = (LENGTH - GRAM) // 2
+#: Bits of the map of texts that are concerned, a power of two; it is broadcast.
+MAP_BITS = 1 << 24
+
+RUN_SCHEMA = "a long, b long, lo int, hi int, at int, gram long, c1 long, c2 long, before int, after int, whole boolean, mark boolean"
+LEFT_SCHEMA = "a long, b long, lo int, hi int, at int, gram long, c1 long, before int, after int, whole boolean, mark boolean"
+START_SCHEMA = "a long, b long, lo int, hi int, c1 long, c2 long, whole boolean, mark boolean"
 MARK_SCHEMA = "a long, b long, lo int, hi int"
-LEFT_SCHEMA = "a long, b long, lo int, hi int, whole boolean"
-START_SCHEMA = "a long, b long, lo int, hi int, c1 long, c2 long, whole boolean"
 
 
 def byte_values(seed: int) -> np.ndarray:
@@ -116,7 +123,8 @@ def table(schema: list[tuple[str, pa.DataType]], **columns) -> pa.RecordBatch:
 
 
 KEY = [("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
-NAMES = [("c1", pa.int64()), ("c2", pa.int64()), ("whole", pa.bool_())]
+RUN = [("at", pa.int32()), ("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("whole", pa.bool_()), ("mark", pa.bool_())]
+START = [("c1", pa.int64()), ("c2", pa.int64()), ("whole", pa.bool_()), ("mark", pa.bool_())]
 
 
 def text_blocks(ids: np.ndarray, hashes: np.ndarray, texts: list[str]):
@@ -149,22 +157,26 @@ def find_runs(batches):
             data = b"".join(p[2] for p in pieces)
             ends = np.cumsum([len(p[2]) for p in pieces])
             begins = np.concatenate([[0], ends[:-1]])
-            lo, hi, at, gram = runs_of(np.frombuffer(data, np.uint8), begins, ends)
+            raw = np.frombuffer(data, np.uint8)
+            lo, hi, at, gram = runs_of(raw, begins, ends)
             if not len(lo):
                 continue
             digest = xxhash.xxh3_128_digest
             names = np.frombuffer(b"".join([digest(data[i:j], s) for i, j, s in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())]), "<i8").reshape(-1, 2)
             owner = np.searchsorted(ends, lo, side="right")
+            side = gram_hashes(raw, SIDE).view(np.int64).astype(np.int32)
+            outer = np.pad(side, (0, LENGTH))
+            before = [None if none else x for none, x in zip((at - SIDE < begins[owner]).tolist(), outer[np.maximum(at - SIDE, 0)].tolist())]
+            after = [None if none else x for none, x in zip((at + GRAM + SIDE > ends[owner]).tolist(), outer[at + GRAM].tolist())]
             shift = np.array([p[3] for p in pieces])[owner] - begins[owner]
             a, b = np.array([p[0] for p in pieces])[owner], np.array([p[1] for p in pieces])[owner]
-            lo, hi = lo + shift, hi + shift
             again, one = grouped(gram, names[:, 0], names[:, 1])
-            marked = np.flatnonzero(again)
-            schema = [*KEY, ("gram", pa.int64()), *NAMES]
-            if len(marked):
-                nothing = [None] * len(marked)
-                yield table(schema, a=a[marked], b=b[marked], lo=lo[marked], hi=hi[marked], gram=nothing, c1=nothing, c2=nothing, whole=np.ones(len(marked), bool))
-            yield table(schema, a=a[one], b=b[one], lo=lo[one], hi=hi[one], gram=gram[one].view(np.int64), c1=names[one, 0], c2=names[one, 1], whole=again[one])
+            columns = {"a": a, "b": b, "lo": lo + shift, "hi": hi + shift, "at": at + shift, "gram": gram.view(np.int64), "c1": names[:, 0], "c2": names[:, 1]}
+            for rows, mark in ((np.flatnonzero(again), True), (one, False)):
+                if len(rows):
+                    own = {n: x[rows] for n, x in columns.items()}
+                    sides = {"before": [before[i] for i in rows.tolist()], "after": [after[i] for i in rows.tolist()]}
+                    yield table([*KEY, *RUN], **own, **sides, whole=again[rows], mark=np.full(len(rows), mark))
 
 
 def with_neighbours(batches, keys: list[int]):
@@ -195,34 +207,44 @@ def _compared(rows: pa.RecordBatch, keys: list[int], before: pa.RecordBatch | No
     return rows.slice(0, n), prior, after
 
 
+def unmarked(batches, mark: int, marks: list[pa.RecordBatch]):
+    """The rows that are no marks; those that are go into the list."""
+    for batch in batches:
+        is_mark = batch.column(mark)
+        found = batch.filter(is_mark)
+        if found.num_rows:
+            marks.append(found)
+        yield batch.filter(pc.invert(is_mark))
+
+
 def refine_runs(batches):
-    """Of runs sorted by gram and bytes: marks (whole is null) of those whose bytes are there again, and runs to be
-    refined (whole: known to be repeated). Of equal runs the first and the last stand for all."""
-    for rows, (g0, x0, y0), (g1, x1, y1) in with_neighbours(batches, [4, 5, 6]):
+    """Of runs sorted by gram and bytes: marks of those whose bytes are there again, and runs that share their gram
+    with others (whole: known to be repeated). Of equal runs the first and the last stand for all."""
+    marks: list[pa.RecordBatch] = []
+    out = ["a", "b", "lo", "hi", "at", "gram", "c1", "before", "after", "whole", "mark"]
+    for rows, (g0, x0, y0), (g1, x1, y1) in with_neighbours(unmarked(batches, 11, marks), [5, 6, 7]):
+        yield from (m.select(out) for m in marks)
+        marks.clear()
         same_before, same_after = g0 & x0 & y0, g1 & x1 & y1
-        known = rows.column(7).to_numpy(zero_copy_only=False)
+        known = rows.column(10).to_numpy(zero_copy_only=False)
         again = same_before | same_after
-        marked = np.flatnonzero(again & ~known)
-        left = np.flatnonzero((~same_before & g0) | (~same_after & g1))
-        for at, whole in ((marked, [None] * len(marked)), (left, (again | known)[left])):
+        for at, mark in ((np.flatnonzero(again & ~known), True), (np.flatnonzero((~same_before & g0) | (~same_after & g1)), False)):
             if len(at):
-                own = {n: rows.column(i).take(pa.array(at)) for i, (n, _) in enumerate(KEY)}
-                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(whole, pa.bool_())], names=[*own, "whole"])
+                own = rows.take(pa.array(at)).select(out[:-2])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array((again | known)[at]), pa.array(np.full(len(at), mark))], names=out)
+    yield from (m.select(out) for m in marks)
 
 
 def find_starts(batches):
-    """Each start of the runs to be refined, by its bucket: repeated ones in the same block are marks without a bucket."""
-    schema = [*KEY, *NAMES]
+    """Each start of the runs to be refined, by its bucket: repeated ones in the same block are marks, one goes on."""
     waiting, total = [], 0
 
     def flush():
         a, b, lo, c1, c2, whole = (np.concatenate(x) for x in zip(*waiting))
         again, one = grouped(c1, c2)
-        marked = np.flatnonzero(again & ~whole)
-        if len(marked):
-            nothing = [None] * len(marked)
-            yield table(schema, a=a[marked], b=b[marked], lo=lo[marked], hi=lo[marked], c1=nothing, c2=nothing, whole=nothing)
-        yield table(schema, a=a[one], b=b[one], lo=lo[one], hi=lo[one], c1=c1[one].view(np.int64), c2=c2[one].view(np.int64), whole=again[one] | whole[one])
+        for rows, mark in ((np.flatnonzero(again & ~whole), True), (one, False)):
+            if len(rows):
+                yield table([*KEY, *START], a=a[rows], b=b[rows], lo=lo[rows], hi=lo[rows], c1=c1[rows].view(np.int64), c2=c2[rows].view(np.int64), whole=again[rows] | whole[rows], mark=np.full(len(rows), mark))
 
     for batch in batches:
         for a, b, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
@@ -247,12 +269,17 @@ def find_starts(batches):
 
 
 def refine_starts(batches):
-    """Marks of starts, sorted by bucket, whose bucket has another."""
-    for rows, (x0, y0), (x1, y1) in with_neighbours(batches, [4, 5]):
+    """Marks of starts, sorted by bucket, whose bucket has another; those that are marks already pass."""
+    marks: list[pa.RecordBatch] = []
+    out = [n for n, _ in KEY]
+    for rows, (x0, y0), (x1, y1) in with_neighbours(unmarked(batches, 7, marks), [4, 5]):
+        yield from (m.select(out) for m in marks)
+        marks.clear()
         known = rows.column(6).to_numpy(zero_copy_only=False)
         at = np.flatnonzero((x0 & y0 | x1 & y1) & ~known)
         if len(at):
-            yield pa.RecordBatch.from_arrays([rows.column(i).take(pa.array(at)) for i in range(4)], names=[n for n, _ in KEY])
+            yield rows.take(pa.array(at)).select(out)
+    yield from (m.select(out) for m in marks)
 
 
 def spans_of(starts: list[dict]) -> list[tuple[int, int]]:
@@ -276,21 +303,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # rows of the same id and text share a key, and have the same strings repeated
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("a", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("b", F.xxhash64("text"))
-    runs = through_table(keyed.filter(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(find_runs, RUN_SCHEMA), "runs")
-    sorted_runs = runs.filter("gram is not null").repartition("gram").sortWithinPartitions("gram", "c1", "c2")
-    compared = through_table(sorted_runs.mapInArrow(refine_runs, LEFT_SCHEMA), "compared-runs")
-    left = compared.filter("whole is not null").groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("runs"))
-    of = keyed.select("a", "b", "text").join(left, ["a", "b"])
-    starts = through_table(of.mapInArrow(find_starts, START_SCHEMA), "starts")
-    sorted_starts = starts.filter("c1 is not null").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
     own = ["a", "b", "lo", "hi"]
-    marks = (
-        runs.filter("gram is null").select(own)
-        .union(compared.filter("whole is null").select(own))
-        .union(starts.filter("c1 is null").select(own))
-        .union(sorted_starts.mapInArrow(refine_starts, MARK_SCHEMA))
-    )
-    by_text = marks.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("a", "b", "text").mapInArrow(find_runs, RUN_SCHEMA)
+    compared = through_table(runs.repartition("gram").sortWithinPartitions("gram", "c1", "c2").mapInArrow(refine_runs, LEFT_SCHEMA), "compared-runs")
+    left = through_table(sided(compared.filter("not mark")).groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("runs")), "runs-left")
+    of = concerned(keyed.select("a", "b", "text"), left)[0].join(left, ["a", "b"])
+    starts = of.mapInArrow(find_starts, START_SCHEMA).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    found = through_table(starts.mapInArrow(refine_starts, MARK_SCHEMA), "marked-starts")
+    marks = compared.filter("mark").select(own).union(found)
+    by_text = through_table(marks.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "marks")
 
     def cut(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -305,8 +326,41 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join(data[i:j] for i, j in zip(at[::2], at[1::2])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, schema.field(2).type), pa.array(kept, pa.binary())], schema=schema)
 
-    joined = keyed.join(by_text, ["a", "b"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    some, others = concerned(keyed, by_text)
+    joined = some.join(by_text, ["a", "b"], "left").select("doc_id", "text", "starts")
+    whole = others.select("doc_id", "text", F.lit(None).cast(by_text.schema["starts"].dataType).alias("starts"))
+    return joined.union(whole).mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def sided(left: DataFrame) -> DataFrame:
+    """a, b, lo, hi, whole: the parts of the runs on whose side of the gram some other run has the same bytes."""
+    parts = []
+    for side, lo, hi in (("before", F.col("lo"), F.least("hi", F.col("at") - SIDE - 1)), ("after", F.greatest("lo", F.col("at") - SIDE), F.col("hi"))):
+        known = left.filter(F.col(side).isNotNull())
+        shared = known.groupBy("gram", side).agg(F.min("c1").alias("x"), F.max("c1").alias("y")).filter("x <> y").select("gram", side)
+        parts.append(known.join(shared, ["gram", side]).select("a", "b", lo.alias("lo"), hi.alias("hi"), "whole").filter("lo <= hi"))
+    return parts[0].union(parts[1])
+
+
+def concerned(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that may be among the keys (a, b), and those that are not, by a bit map of MAP_BITS bits."""
+    bit = F.pmod(F.xxhash64("a", "b"), F.lit(MAP_BITS))
+    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    at, kind = texts.columns, texts.schema
+
+    def chosen(wanted: bool):
+        def choose(batches):
+            for batch in batches:
+                place = batch.column(len(at)).to_numpy(zero_copy_only=False)
+                there = (shared.value[place >> 6] >> (place & 63)) & 1
+                yield batch.filter(pa.array((there == 1) == wanted)).select(at)
+
+        return texts.withColumn("_bit", bit).mapInArrow(choose, kind)
+
+    return chosen(True), chosen(False)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
