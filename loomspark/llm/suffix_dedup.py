@@ -172,11 +172,23 @@ def find_runs(batches):
             a, b = np.array([p[0] for p in pieces])[owner], np.array([p[1] for p in pieces])[owner]
             again, one = grouped(gram, names[:, 0], names[:, 1])
             columns = {"a": a, "b": b, "lo": lo + shift, "hi": hi + shift, "at": at + shift, "gram": gram.view(np.int64), "c1": names[:, 0], "c2": names[:, 1]}
-            for rows, mark in ((np.flatnonzero(again), True), (one, False)):
-                if len(rows):
-                    own = {n: x[rows] for n, x in columns.items()}
-                    sides = {"before": [before[i] for i in rows.tolist()], "after": [after[i] for i in rows.tolist()]}
-                    yield table([*KEY, *RUN], **own, **sides, whole=again[rows], mark=np.full(len(rows), mark))
+            yield from marked(np.flatnonzero(again), a, b, lo + shift, hi + shift, RUN, "gram")
+            own = {n: x[one] for n, x in columns.items()}
+            sides = {"before": [before[i] for i in one.tolist()], "after": [after[i] for i in one.tolist()]}
+            yield table([*KEY, *RUN], **own, **sides, whole=again[one], mark=np.zeros(len(one), bool))
+
+
+def marked(rows: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, schema: list, key: str):
+    """The rows as marks, those that follow one another in a text as one; the key, of no meaning, spreads them."""
+    if not len(rows):
+        return
+    rows = rows[np.lexsort((lo[rows], b[rows], a[rows]))]
+    a, b, lo, hi = a[rows], b[rows], lo[rows], hi[rows]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (lo[1:] > hi[:-1] + 1)]))
+    a, b, lo, hi = a[first], b[first], lo[first], np.maximum.reduceat(hi, first)
+    rest = {n: np.zeros(len(first), t.to_pandas_dtype()) for n, t in schema}
+    rest |= {key: mixed(b.astype(np.int64).view(np.uint64) + lo.astype(np.uint64)).view(np.int64), "mark": np.ones(len(first), bool)}
+    yield table([*KEY, *schema], a=a, b=b, lo=lo, hi=hi, **rest)
 
 
 def with_neighbours(batches, keys: list[int]):
@@ -242,9 +254,10 @@ def find_starts(batches):
     def flush():
         a, b, lo, c1, c2, whole = (np.concatenate(x) for x in zip(*waiting))
         again, one = grouped(c1, c2)
-        for rows, mark in ((np.flatnonzero(again & ~whole), True), (one, False)):
-            if len(rows):
-                yield table([*KEY, *START], a=a[rows], b=b[rows], lo=lo[rows], hi=lo[rows], c1=c1[rows].view(np.int64), c2=c2[rows].view(np.int64), whole=again[rows] | whole[rows], mark=np.full(len(rows), mark))
+        yield from marked(np.flatnonzero(again & ~whole), a, b, lo, lo, START, "c1")
+        known = again[one] | whole[one]  # whose own place need not be told
+        place = [np.where(known, 0, x[one]) for x in (a, b, lo, lo)]
+        yield table([*KEY, *START], a=place[0], b=place[1], lo=place[2], hi=place[3], c1=c1[one].view(np.int64), c2=c2[one].view(np.int64), whole=known, mark=np.zeros(len(one), bool))
 
     for batch in batches:
         for a, b, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
