@@ -99,7 +99,7 @@ def period_returns(series: DataFrame, value: str, date: str, per_year: float) ->
     path = series.filter(F.col(value).isNotNull()).withColumn("_nav", F.exp(F.sum(F.log1p(value)).over(w)))
     path = path.withColumn("_top", F.greatest(F.max("_nav").over(w), F.lit(1.0))).withColumn("_dd", F.col("_nav") / F.col("_top") - 1)
     cut = path.agg(F.percentile(value, 0.05).alias("_var"))
-    path = path.join(F.broadcast(cut), how="left").withColumn("_tail", F.when(F.col(value) <= F.col("_var"), F.col(value)))  # one row
+    path = path.join(F.broadcast(cut), how="left").withColumn("_tail", F.when(F.col(value) <= F.col("_var") + 1e-9, F.col(value)))  # one row; of equal returns all or none
     n = F.count(F.lit(1)).cast("double")
     loss = F.sqrt(F.avg(F.pow(F.least(F.col(value), F.lit(0.0)), F.lit(2.0))))
     found = path.agg(

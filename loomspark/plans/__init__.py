@@ -1,0 +1,14 @@
+"""Queries over the test tables, by area; see registry."""
+
+from __future__ import annotations
+
+from loomspark.plans import diagnostic_queries, event_queries, panel_queries, selection_queries  # noqa: F401  they register
+from loomspark.plans.registry import QUERIES, SQL
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
