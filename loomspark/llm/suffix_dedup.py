@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm import pretoken
 from loomspark.llm.common import through_table
 from loomspark.llm.pretoken import BASE, mixed, powers
 
 LENGTH = 200
 GRAM = 25
 #: Bytes that a task holds at once, 2 ** 24 at most.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 NO_ID = -(1 << 63)
 
 SIDE = (LENGTH - GRAM) // 2
@@ -329,15 +330,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
         for batch in batches:
-            sizes, spans, kept = [], [], []
-            for t, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = t.encode()
-                found = spans_of(starts or [])
-                at = [0, *(x for s in found for x in s), len(data)]
-                sizes.append(len(data))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                kept.append(b"".join(data[i:j] for i, j in zip(at[::2], at[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, schema.field(2).type), pa.array(kept, pa.binary())], schema=schema)
+            texts = batch.column(1).to_pylist()
+            for i, j in pretoken.blocks(texts):
+                sizes, spans, kept = [], [], []
+                for t, starts in zip(texts[i:j], batch.column(2)[i:j].to_pylist()):
+                    data = t.encode()
+                    found = spans_of(starts or [])
+                    at = [0, *(x for s in found for x in s), len(data)]
+                    sizes.append(len(data))
+                    spans.append([{"start": a, "end": b} for a, b in found])
+                    kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2])))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes, pa.int64()), pa.array(spans, schema.field(2).type), pa.array(kept, pa.binary())], schema=schema)
 
     some, others = concerned(keyed, by_text)
     joined = some.join(by_text, ["a", "b"], "left").select("doc_id", "text", "starts")
