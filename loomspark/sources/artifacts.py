@@ -44,7 +44,7 @@ def partitioned(spark: SparkSession, root: str, files: Sequence[str]) -> DataFra
 def as_date(x: str) -> Column:
     """A date from YYYYMMDD, the same with .0 after it, or ISO text."""
     text = F.regexp_replace(F.trim(F.col(x).cast("string")), r"\.0$", "")
-    return F.coalesce(F.try_to_date(text, F.lit("yyyyMMdd")), F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(text, "yyyyMMdd"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
 def merged(frames: Sequence[DataFrame], keys: Sequence[str], order: str) -> DataFrame:
