@@ -46,7 +46,7 @@ SYLLABLES = {
 }
 NAME = r"[A-ZÀ-ÞĀ-ŽА-ЯЁ][\w'’-]*"
 PATTERNS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
-    ("secret", lambda t: "assw" in t or "ASSW" in t, re.compile(r"(?i)\b(?:password|passwd|passwort)\s*[=:]\s*[\"']?(?P<v>[^\s\"']{6,})")),
+    ("secret", lambda t: "assw" in t or "ASSW" in t, re.compile(r"(?i)\b(?:password|passwd|passwort)\s*[=:]\s*[\"']?(?P<v>[^\s\"']{5,}\w)")),
     ("token", lambda t: "=" in t or ":" in t, re.compile(r"(?i)\b(?:token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<v>[\w+/-]{16,})")),
     ("access", lambda t: "AKIA" in t, re.compile(r"\b(?P<v>AKIA[0-9A-Z]{16})\b")),
     ("email", lambda t: "@" in t, re.compile(r"(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})")),
