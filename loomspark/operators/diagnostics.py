@@ -243,10 +243,11 @@ def availability(df: DataFrame, features: Sequence[str], panel: Panel = PANEL) -
 
 
 def rolling_factor_stats(ics: DataFrame, n: int, least: int, date: str = "trade_date") -> DataFrame:
-    """Rolling mean, information ratio and share of the mean's sign of each factor's series, known the date after."""
+    """Rolling mean, information ratio (NULL where the series does not vary) and share of the mean's sign of each
+    factor's series, known the date after."""
     h = Window.partitionBy("factor").orderBy(date)
     w = h.rowsBetween(1 - n, 0)
     mean, std = R.rolling(F.avg("rank_ic"), w, "rank_ic", least), R.rolling(F.stddev_samp("rank_ic"), w, "rank_ic", least)
     up = R.rolling(F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))), w, "rank_ic", least)
-    found = ics.withColumn("_m", mean).withColumn("_i", R.ratio(mean, F.nullif(std, F.lit(0.0)))).withColumn("_u", F.greatest(up, 1 - up))
+    found = ics.withColumn("_m", mean).withColumn("_i", F.when(std > 1e-9, mean / std)).withColumn("_u", F.greatest(up, 1 - up))
     return found.withColumns({o: F.lag(c).over(h) for o, c in (("rolling_ic", "_m"), ("rolling_icir", "_i"), ("consistency", "_u"))}).drop("_m", "_i", "_u")

@@ -135,7 +135,7 @@ W10 = "OVER (PARTITION BY factor ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AN
 
 
 @query(f"""WITH {FWD}, {LONG}, {ranked_sql('value', 'fwd', 'l', 'trade_date, factor')}, i AS (SELECT trade_date, factor, CASE WHEN count(a) >= 2 THEN {corr_sql('a', 'b')} END AS c FROM rk GROUP BY 1, 2), w AS (SELECT *, CASE WHEN count(c) {W10} >= 6 THEN avg(c) {W10} END AS m, CASE WHEN count(c) {W10} >= 6 THEN stddev_samp(c) {W10} END AS s FROM i)
-SELECT trade_date, factor, {r6('lag(m) OVER h', 'rolling_ic')}, {r6('lag(m / nullif(s, 0)) OVER h', 'rolling_icir')} FROM w WINDOW h AS (PARTITION BY factor ORDER BY trade_date)""")
+SELECT trade_date, factor, {r6('lag(m) OVER h', 'rolling_ic')}, {r6('lag(CASE WHEN s > 1e-9 THEN m / s END) OVER h', 'rolling_icir')} FROM w WINDOW h AS (PARTITION BY factor ORDER BY trade_date)""")
 def rolling_factor_diagnostics(spark, d):
     ics = dg.factor_dates(forward(spark, d), ["pb", "volume"], "fwd")
     return rounded(dg.rolling_factor_stats(ics, 10, 6), "trade_date", "factor", "rolling_ic", "rolling_icir")
