@@ -2,7 +2,8 @@
 
 An entity is a kind and a canonical spelling, so that a phone number written in two ways, or a surname after two
 titles, is one entity and has one surrogate throughout the corpus. A surrogate is drawn by a keyed hash of entity and
-attempt, letter for letter and digit for digit. Entities whose surrogates collide, with each other's or with an
+attempt, letter for letter and digit for digit; card and account numbers keep their issuer or country, and have
+check digits that fit if those of the original do. Entities whose surrogates collide, with each other's or with an
 entity of the corpus, draw again, all but one, until none do. Nearly all keep the first draw, which any task can
 make by itself: only the others are looked up.
 """
@@ -45,13 +46,15 @@ SYLLABLES = {
     "cyrillic": "бал бер вал вер гор дал ден зор кал кор лан лен мар мел нор пал пер рал рен сал сер тал тор фал хол чер".split(),
 }
 NAME = r"[A-ZÀ-ÞĀ-ŽА-ЯЁ][\w'’-]*"
+#: A phone number ends before an address, a card, a social security number or another phone number.
+NO_OTHER = r"(?!(?:\d{1,3}\.){3}\d|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{3}-\d{2}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})"
 PATTERNS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
     ("secret", lambda t: "assw" in t or "ASSW" in t, re.compile(r"(?i)\b(?:password|passwd|passwort)\s*[=:]\s*[\"']?(?P<v>[^\s\"']{5,}\w)")),
     ("token", lambda t: "=" in t or ":" in t, re.compile(r"(?i)\b(?:token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?(?P<v>[\w+/-]{16,})")),
     ("access", lambda t: "AKIA" in t, re.compile(r"\b(?P<v>AKIA[0-9A-Z]{16})\b")),
     ("email", lambda t: "@" in t, re.compile(r"(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})")),
     ("iban", lambda t: True, re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)\b")),
-    ("phone", lambda t: "+" in t, re.compile(r"(?P<v>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\d)")),
+    ("phone", lambda t: "+" in t, re.compile(rf"(?P<v>\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?{NO_OTHER}\d{{2,4}}){{2,4}})(?!\d)")),
     ("phone", lambda t: True, re.compile(r"(?<![\w+.-])(?P<v>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\w-])")),
     ("card", lambda t: True, re.compile(r"(?<![\w.-])(?P<v>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{13})(?![\w-])")),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
@@ -97,6 +100,16 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind in ("email", "token") else value
 
 
+def card_sum(digits: str) -> int:
+    """The checksum of a card number: 0 modulo 10 if its last digit fits the others."""
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+
+
+def iban_remainder(value: str) -> int:
+    """1 if the check digits of an account number fit the others."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 class Draw:
     """Numbers drawn one after the other for an entity, by a keyed hash."""
 
@@ -142,8 +155,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "phone":
         keep = max(0, len(value) - 10)  # of a country code
         return value[:keep] + draw.like(value[keep:])
+    if kind == "card":
+        keep = 2 if value[0] == "3" else 1  # of an issuer
+        drawn_digits = value[:keep] + draw.like(value[keep:])
+        fits = card_sum(value) % 10 == 0
+        return drawn_digits[:-1] + str(-card_sum(drawn_digits[:-1] + "0") % 10) if fits else drawn_digits
     if kind == "iban":
-        return value[:2] + draw.like(value[2:])
+        body = draw.like(value[4:])
+        fits = iban_remainder(value) == 1
+        return value[:2] + (f"{98 - iban_remainder(value[:2] + '00' + body):02d}" if fits else draw.like(value[2:4])) + body
     if kind == "access":
         return value[:4] + draw.like(value[4:])
     if kind in ("token", "secret") and re.fullmatch(r"[0-9a-fA-F]+", value):

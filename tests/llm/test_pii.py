@@ -41,6 +41,28 @@ def test_format_and_coreference():
     assert name in pii.GIVEN["latin", "f"]
 
 
+@pytest.mark.parametrize("other", ["42.144.35.254", "4465-7583-8288-9437", "4465758382889437", "123-45-6789", "555-123-4567", "+1 (456) 555-2186"])
+def test_neighbours_are_told_apart(other):
+    text = f"+1 (988) 555-2485 {other} and"
+    assert [text[a:b] for a, b, *_ in pii.entities(text)] == ["+1 (988) 555-2485", other]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_check_digits_fit(seed):
+    key = bytes([seed])
+    card = pii.surrogate(key, "card", "4041894974608795", 0)
+    assert pii.card_sum(card) % 10 == 0 and card[0] == "4" and len(card) == 16
+    assert pii.surrogate(key, "card", "378282246310005", 0)[:2] == "37"
+    account = pii.surrogate(key, "iban", "DE89370400440532013000", 0)
+    assert pii.iban_remainder(account) == 1 and account[:2] == "DE" and account[2:].isdigit()
+    assert pii.surrogate(key, "iban", "GB82WEST12345698765432", 0)[4:8].isalpha()
+
+
+def test_checksums():
+    assert [pii.card_sum(c) % 10 for c in ("4041894974608795", "4041894974608796", "378282246310005")] == [0, 1, 0]
+    assert [pii.iban_remainder(v) == 1 for v in ("DE89370400440532013000", "GB82WEST12345698765432", "DE88370400440532013000")] == [True, True, False]
+
+
 @pytest.mark.parametrize("text", ["Licensed under CC BY-NC 4.0.", "version 3. 1,234.56 and 2024-01-31", "M. Of the. Mr of", "a@b", "12345678901234567 1.2.3 1.2.3.4.5 300.1.1.1"])
 def test_clean_text_stays(text):
     assert pii.replaced(text, KEY, lambda *_: None) == (text, [])
