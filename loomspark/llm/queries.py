@@ -59,10 +59,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Base32 of SHA-1 by hand: 5 hexadecimal digits are 4 letters. The response of equal payloads is the last page.
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(h, 5 * CAST(k // 4 AS INT) + 1, 5)) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS INT) + 1, 1), '' ORDER BY k) AS payload_digest
+  FROM (SELECT DISTINCT h FROM r), range(32) t(k) GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM r JOIN d USING (h)
+"""
+
+#: Removed runs are groups of starts at most 200 apart; what is kept are the gaps between them.
+OP8_SQL = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, n_bytes - 199)) AS s, unnest(list_transform(range(0, n_bytes - 199), lambda s: b[s + 1:s + 200])) AS string FROM docs WHERE n_bytes >= 200),
+strings AS (SELECT doc_id, s, count(*) OVER (PARTITION BY string) AS n FROM starts),
+marked AS (SELECT doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) > 200 AS fresh FROM strings WHERE n > 1),
+numbered AS (SELECT doc_id, s, count_if(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, unhex(string_agg(hex(b[a + 1:coalesce(z, n_bytes)]), '' ORDER BY a)) AS rest FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(rest, b)) AS kept_sha256 FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Every window of an item's size that shares a shingle with it, by weighted Jaccard similarity.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS width FROM i WHERE len(w) > 0),
+item_shingles AS (SELECT item_id, n, width, n - width + 1 AS m, array_to_string(w[k:k + width - 1], ' ') AS shingle, count(*) AS times FROM (SELECT *, unnest(range(1, n - width + 2)) AS k FROM items) GROUP BY ALL),
+doc_shingles AS (SELECT doc_id, len(w) AS n_words, width, k, array_to_string(w[k:k + width - 1], ' ') AS shingle FROM (SELECT d.doc_id, d.w, v.width, unnest(range(1, len(d.w) - v.width + 2)) AS k FROM d, (SELECT DISTINCT width FROM items) v)),
+shared AS (SELECT doc_id, item_id, k, shingle, times, m, n, n_words FROM doc_shingles JOIN item_shingles USING (width, shingle)),
+windows AS (SELECT *, unnest(range(greatest(1, k - m + 1), least(k, n_words - n + 1) + 1)) AS first FROM shared),
+met AS (SELECT doc_id, item_id, first, m, shingle, least(count(*), any_value(times)) AS c FROM windows GROUP BY doc_id, item_id, first, m, shingle),
+scored AS (SELECT doc_id, item_id, first, sum(c) / (2 * m - sum(c)) AS similarity FROM met GROUP BY doc_id, item_id, first, m)
+SELECT doc_id, item_id, similarity, first - 1 AS first_word FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The SQL of what SQL can express: it has no tokenizers, XXH64 or CRC-32, and no draws or packing in rounds."""
+    return {"op6_warc": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
