@@ -83,6 +83,29 @@ def overfitting_probability(sums: Sequence[tuple[int, str, int, float, float]],
     return {"splits": len(logits), "pbo": sum(x <= 0 for x in logits) / len(logits), "mean_logit": sum(logits) / len(logits)}
 
 
+def overfitting_splits(sums: DataFrame, groups: int, candidate: str = "candidate") -> DataFrame:
+    """split, best, train_sharpe, test_sharpe, relative_rank, logit: each choice of half of the groups to train on.
+
+    sums: as group_sums has them. split has a bit for each group trained on. best has the highest Sharpe ratio there
+    (of equal ones the last by name); its rank by that of the other groups, over candidates and one, is below a half
+    where choosing it was overfitting. Ratios without a deviation are 0.
+    """
+    halves = [m for m in range(1 << groups) if m.bit_count() == groups // 2]
+    rows = sums.withColumn("split", F.explode(F.array(*(F.lit(m) for m in halves))))
+    trained = F.getbit("split", F.col("group").cast("int")) == 1
+
+    def sharpe(chosen):
+        n, s, q = (F.sum(F.when(chosen, F.col(c))) for c in ("n", "s", "q"))
+        spread = (q - s * s / n) / (n - 1)
+        return F.coalesce(F.when((n > 1) & (spread > 0), s / n / F.sqrt(spread)), F.lit(0.0))
+
+    each = rows.groupBy("split", candidate).agg(sharpe(trained).alias("train_sharpe"), sharpe(~trained).alias("test_sharpe"))
+    of_split = Window.partitionBy("split")
+    ranked = each.withColumns({"_rank": R.average_rank("test_sharpe", ["split"]), "_n": F.count(F.lit(1)).over(of_split), "_best": F.row_number().over(of_split.orderBy(F.desc("train_sharpe"), F.desc(candidate)))})
+    best = ranked.filter("_best = 1").withColumn("relative_rank", F.col("_rank") / (F.col("_n") + 1))
+    return best.select("split", F.col(candidate).alias("best"), "train_sharpe", "test_sharpe", "relative_rank", F.log(F.col("relative_rank") / (1 - F.col("relative_rank"))).alias("logit"))
+
+
 def covariance(returns: DataFrame, factors: Sequence[str], shrinkage: float = 0.0) -> DataFrame:
     """left_factor, right_factor, covariance of factor returns over rows where all are known, shrunk to the diagonal."""
     full = returns.dropna(subset=list(factors))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import recipes as R
@@ -299,3 +299,35 @@ def symmetric_cusum(df: DataFrame, column: str, threshold: float, drift: float =
     types = {c: df.schema[c].dataType.simpleString() for c in (panel.entity, panel.date)}
     schema = f"{panel.entity} {types[panel.entity]}, {panel.date} {types[panel.date]}, direction int, statistic double"
     return df.select(panel.entity, panel.date, column).groupBy(panel.entity).applyInPandas(compute, schema)
+
+
+def recursive_residuals(df: DataFrame, y: str, x: str, least: int = 20, panel: Panel = PANEL) -> DataFrame:
+    """date, entity, recursive_residual, cusum, standardized_cusum: each y against what the rows before it foretell.
+
+    The regression on x and a constant is of the entity's earlier rows alone, ``least`` of them and x varied; the
+    error is divided by the root of one plus the row's leverage. Rows without x or y are left out; rows without a
+    forecast have NULLs.
+    """
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*panel.keys, y, x)
+    before = panel.history().rowsBetween(Window.unboundedPreceding, -1)
+    n, mean_x, mean_y, spread = (f(c).over(before) for f, c in ((F.count, x), (F.avg, x), (F.avg, y), (F.var_pop, x)))
+    sums = known.withColumns({"_n": n, "_mx": mean_x, "_my": mean_y, "_v": F.nullif(spread, F.lit(0.0)), "_c": F.covar_pop(x, y).over(before)})
+    off = F.col(x) - F.col("_mx")
+    error = F.col(y) - F.col("_my") - R.ratio("_c", "_v") * off
+    leverage = R.ratio(F.lit(1.0), "_n") + R.ratio(off * off, F.col("_v") * F.col("_n"))
+    found = sums.withColumn("recursive_residual", F.when(F.col("_n") >= least, error / F.sqrt(1 + leverage)))
+    so_far = panel.history().rowsBetween(Window.unboundedPreceding, 0)
+    total = F.when(F.col("recursive_residual").isNotNull(), F.sum("recursive_residual").over(so_far))
+    scale = F.nullif(F.stddev_samp("recursive_residual").over(R.by(panel.entity)), F.lit(0.0))
+    return found.withColumns({"cusum": total, "standardized_cusum": R.ratio(total, scale)}).select(*panel.keys, "recursive_residual", "cusum", "standardized_cusum")
+
+
+def break_summary(df: DataFrame, statistic: str, threshold: float, panel: Panel = PANEL) -> DataFrame:
+    """entity, observations, break_count, maximum, latest of a statistic of breaks; NULLs do not count."""
+    known = F.col(statistic).isNotNull()
+    return df.groupBy(panel.entity).agg(
+        F.count(statistic).alias("observations"),
+        F.count(F.when(F.col(statistic) >= threshold, 1)).alias("break_count"),
+        F.max(statistic).alias("maximum"),
+        F.max_by(statistic, F.when(known, F.col(panel.date))).alias("latest"),
+    )

@@ -10,7 +10,7 @@ from loomspark.functions import recipes as R
 from loomspark.operators import cross_section as cs
 from loomspark.operators import diagnostics as dg
 from loomspark.operators import inference as inf
-from loomspark.operators import intraday, labels, models, selection, splits, weights
+from loomspark.operators import controls, intraday, labels, models, selection, splits, weights
 from loomspark.operators import panel as pn
 from loomspark.operators import time_series as ts
 from loomspark.sources import artifacts
@@ -219,3 +219,57 @@ def test_bars_of_a_stream(spark, tmp_path):
     job = stream.writeStream.format("memory").queryName("bars_out").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert sorted(map(tuple, spark.table("bars_out").collect())) == sorted(map(tuple, stream_bars.bars(ticks).collect()))
+
+
+def test_overfitting_splits_agree_with_the_list(spark):
+    rows = [(d, c, math.sin(k * (3 + len(c))) / 10 + (0.01 if c == "good" else 0.0)) for k, d in enumerate(DAYS) for c in ("good", "bad", "worse", "flat-")]
+    sums = inf.group_sums(spark.createDataFrame(rows, "d date, candidate string, r double"), "d", "candidate", "r", 6)
+    want = inf.overfitting_probability([tuple(r) for r in sums.collect()], 6)
+    got = inf.overfitting_splits(sums, 6).collect()
+    assert len(got) == want["splits"] == 20
+    assert math.isclose(sum(r.logit <= 0 for r in got) / 20, want["pbo"]) and math.isclose(sum(r.logit for r in got) / 20, want["mean_logit"], abs_tol=1e-9)
+
+
+def test_recursive_residuals_by_least_squares(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=30)
+    y = 2 * x + 1 + rng.normal(size=30)
+    rows = [("a", d, float(y[k]) if k != 5 else None, float(x[k])) for k, d in enumerate(DAYS[:30])] + [("b", d, 1.0, 2.0) for d in DAYS[:30]]
+    df = ts.recursive_residuals(spark.createDataFrame(rows, "symbol string, trade_date date, y double, x double"), "y", "x", 10)
+    got = {s: [r.recursive_residual for r in sorted(df.filter(F.col("symbol") == s).collect(), key=lambda r: r.trade_date)] for s in "ab"}
+    assert got["b"] == [None] * 30
+    a, b = np.column_stack([np.ones(29), np.delete(x, 5)]), np.delete(y, 5)
+    for k in range(29):
+        if k < 10:
+            assert got["a"][k] is None
+        else:
+            beta = np.linalg.lstsq(a[:k], b[:k], rcond=None)[0]
+            assert math.isclose(got["a"][k], (b[k] - a[k] @ beta) / math.sqrt(1 + a[k] @ np.linalg.inv(a[:k].T @ a[:k]) @ a[k]), rel_tol=1e-6)
+    summary = {r.symbol: r for r in ts.break_summary(df, "cusum", 0.0).collect()}
+    assert summary["a"].observations == 19 and math.isclose(summary["a"].latest, sum(v for v in got["a"] if v is not None), rel_tol=1e-9)
+    assert (summary["b"].observations, summary["b"].break_count, summary["b"].latest) == (0, 0, None)
+
+
+def test_draws_do_not_depend_on_order(spark, walk):
+    a, b = (sorted(map(tuple, controls.random_feature(df, 3).collect()), key=repr) for df in (walk, walk.repartition(5, F.rand(1))))
+    assert a == b
+    draws = [r[0] for r in spark.range(2000).select(controls.draw(1, "id")).collect()]
+    assert 0 <= min(draws) and max(draws) < 1 and abs(np.mean(draws) - 0.5) < 0.03 and len(set(draws)) == 2000
+
+
+def test_permutations_keep_each_dates_targets(spark):
+    rows = [(d, s, float(s), float(s)) for d in DAYS[:10] for s in range(8)] + [(DAYS[0], 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "trade_date date, symbol long, x double, y double")
+    runs = {r.run: r for r in controls.permuted_ic(df, "x", "y", 19).collect()}
+    assert math.isclose(runs[0].mean_ic, 1) and len(runs) == 20 and all(r.n_dates == 10 and r.mean_ic < 0.9 for k, r in runs.items() if k)
+    found = controls.permutation_test(controls.permuted_ic(df, "x", "y", 19)).first()
+    assert found.runs == 19 and math.isclose(found.p_value, 0.05)
+
+
+def test_bootstrapped_paths(spark):
+    series = spark.createDataFrame([(d, 0.01 * (k % 7 - 2)) for k, d in enumerate(DAYS)] + [(date(2030, 1, 1), None)], "d date, r double")
+    got = controls.block_bootstrap(series, "r", "d", 50, 5).collect()
+    assert len(got) == 50 and all(r.n == len(DAYS) and -1 < r.max_drawdown <= 0 for r in got) and len({r.total_return for r in got}) > 40
+    same = controls.block_bootstrap(series.filter("r = 0.02"), "r", "d", 3, 5).collect()
+    assert all(r.sharpe is None or r.sharpe > 1e6 for r in same) and all(r.max_drawdown == 0 for r in same)
+    assert controls.block_bootstrap(series.filter("false"), "r", "d").collect() == []
