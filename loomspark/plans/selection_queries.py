@@ -8,7 +8,7 @@ from loomspark.operators import cross_section as cs
 from loomspark.operators import diagnostics as dg
 from loomspark.operators import selection as sel
 from loomspark.plans.diagnostic_queries import FWD, LONG, forward, ranked_sql
-from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
+from loomspark.plans.registry import PANEL_SQL, SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
 
 
 @query(f"""WITH {PANEL_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY close DESC, symbol) AS base_rank, count(*) OVER (PARTITION BY trade_date) AS n FROM panel),
@@ -66,7 +66,17 @@ def softmax_weights(spark, d):
 
 @query("""WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS base, CASE WHEN user_id % 3 = 0 THEN list(event_type ORDER BY event_id DESC) END AS own FROM events WHERE event_id < 500 GROUP BY user_id) SELECT user_id, CAST(unnest(generate_series(1, len(coalesce(own, base)))) AS BIGINT) AS place, unnest(coalesce(own, base)) AS choice FROM s""")
 def exploded_rankings(spark, d):
-    e = table(spark, d, "events").filter("event_id < 500").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    return _exploded_rankings(table(spark, d, "events").filter("event_id < 500"))
+
+
+@query(SQL["exploded_rankings"].replace(" WHERE event_id < 500", ""))
+def exploded_rankings_all(spark, d):
+    """The rankings of all users, from all of their events."""
+    return _exploded_rankings(table(spark, d, "events"))
+
+
+def _exploded_rankings(events):
+    e = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
     base = F.transform("x", lambda v: v["event_type"])
     e = e.select("user_id", base.alias("base"), F.when(F.col("user_id") % 3 == 0, F.reverse(base)).alias("own"))
     return rounded(sel.exploded_rankings(e, ["own", "base"], ["user_id"], "choice"), "user_id", "place", "choice")
