@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import recipes as R
 from loomspark.operators import intraday, joins, labels
 from loomspark.operators import panel as pn
-from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
+from loomspark.plans.registry import PANEL_SQL, SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
 
 D = pn.PANEL
 
@@ -161,7 +161,17 @@ v AS (SELECT symbol, trade_date, stddev_pop(volume) / avg(volume) AS cv, avg(jum
 SELECT symbol, trade_date, n_rows, n_bars, n_duplicates, {r6('CASE WHEN n_duplicates = 0 THEN cv END', 'volume_cv')}, {r6('CASE WHEN n_duplicates = 0 THEN vd END', 'volume_diff')}, {r6('CASE WHEN n_duplicates = 0 THEN rv END', 'rv')},
   {r6('CASE WHEN n_duplicates = 0 THEN bp END', 'bipower')}, CASE WHEN n_duplicates = 0 THEN CAST(p1 AS BIGINT) END AS peaks_1, {r6('CASE WHEN n_duplicates = 0 THEN rd / nullif(rv, 0) END', 'downside_share')}, {r6('CASE WHEN n_duplicates = 0 AND bp IS NOT NULL THEN greatest(rv - bp, 0) / nullif(rv, 0) WHEN n_duplicates = 0 AND rv IS NOT NULL THEN 0 / nullif(rv, 0) END', 'jump_share')}, {r6('n_bars / 24', 'coverage')} FROM dg JOIN v USING (symbol, trade_date)""")
 def minute_peak_measures(spark, d):
-    b = bars(spark, d).filter("symbol < 60").withColumn("open", F.col("close") + 0.25)
+    return _minute_peak_measures(bars(spark, d).filter("symbol < 60"))
+
+
+@query(SQL["minute_peak_measures"].replace(" WHERE symbol < 60", ""))
+def minute_peak_measures_all(spark, d):
+    """The measures of all users' days."""
+    return _minute_peak_measures(bars(spark, d))
+
+
+def _minute_peak_measures(b):
+    b = b.withColumn("open", F.col("close") + 0.25)
     return rounded(intraday.peak_measures(b, 24), "symbol", "trade_date", "n_rows", "n_bars", "n_duplicates", "volume_cv", "volume_diff", "rv", "bipower", "peaks_1", "downside_share", "jump_share", "coverage")
 
 

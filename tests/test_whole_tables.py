@@ -8,3 +8,8 @@ def test_rankings_have_all_events(spark):
     got = plans.queries()["exploded_rankings_all"](spark, FOLDER)
     assert got.count() == events.count() > 500
     assert got.select("user_id").distinct().count() == events.select("user_id").distinct().count()
+
+
+def test_peak_measures_have_all_users_days(spark):
+    days = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("user_id", "to_date(ts)").distinct().count()
+    assert plans.queries()["minute_peak_measures_all"](spark, FOLDER).count() == days
