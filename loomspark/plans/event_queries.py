@@ -112,7 +112,17 @@ def trailing_calendar_stats(spark, d):
 @query(f"""WITH {REPORTS_SQL}, g AS (SELECT symbol, period AS trade_date, value FROM reports WHERE n % 5 <> 0), a AS (SELECT *, CAST(trade_date - INTERVAL 26 MONTH AS DATE) AS ask FROM g)
 SELECT a.symbol, a.trade_date, {r6('CASE WHEN a.value > 0 AND b.value > 0 THEN power(a.value / b.value, 365.25 / (a.trade_date - b.trade_date)) - 1 END', 'growth')} FROM a ASOF LEFT JOIN g b ON a.symbol = b.symbol AND a.ask >= b.trade_date""")
 def calendar_growth(spark, d):
-    g = reports(spark, d).filter("n % 5 <> 0").select("symbol", F.col("period").alias("trade_date"), "value")
+    return _calendar_growth(reports(spark, d).filter("n % 5 <> 0"))
+
+
+@query(SQL["calendar_growth"].replace("value FROM reports WHERE n % 5 <> 0", "CASE WHEN n % 5 <> 0 THEN value END AS value FROM reports").replace("ASOF LEFT JOIN g b", "ASOF LEFT JOIN (SELECT * FROM g WHERE value IS NOT NULL) b"))
+def calendar_growth_all(spark, d):
+    """The growth of all reports; gaps are missing values."""
+    return _calendar_growth(reports(spark, d).withColumn("value", F.expr("CASE WHEN n % 5 <> 0 THEN value END")))
+
+
+def _calendar_growth(found):
+    g = found.select("symbol", F.col("period").alias("trade_date"), "value")
     return rounded(joins.calendar_growth(g, "value", 26, "growth"), "symbol", "trade_date", "growth")
 
 
@@ -221,7 +231,18 @@ t AS (SELECT *, CASE WHEN r >= 0.5 THEN 'profit_taking' WHEN r <= -0.4 THEN 'sto
 SELECT event_id, symbol, trade_date, barrier, d AS touched, {r6('r', 'side_return')}, CAST(CASE barrier WHEN 'profit_taking' THEN 1 WHEN 'stop_loss' THEN -1 ELSE sign(r) END AS BIGINT) AS label, CAST(r > 0 AS BIGINT) AS meta_label FROM t WHERE barrier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY k) = 1""")
 def triple_barrier(spark, d):
     n = panel(spark, d).withColumn("n", F.row_number().over(D.history()))
-    e = n.filter("n % 20 = 0").select((F.col("symbol") * 100000 + F.col("n")).alias("event_id"), "symbol", "trade_date", F.lit(0.1).alias("target"), F.when(F.col("volume") % 2 == 0, 1).otherwise(-1).alias("side"))
+    return _triple_barrier(n, n.filter("n % 20 = 0"))
+
+
+@query(SQL["triple_barrier"].replace(" WHERE n % 20 = 0", ""))
+def triple_barrier_all(spark, d):
+    """The labels of all rows of the panel, whose windows overlap."""
+    n = panel(spark, d).withColumn("n", F.row_number().over(D.history()))
+    return _triple_barrier(n, n)
+
+
+def _triple_barrier(n, starts):
+    e = starts.select((F.col("symbol") * 100000 + F.col("n")).alias("event_id"), "symbol", "trade_date", F.lit(0.1).alias("target"), F.when(F.col("volume") % 2 == 0, 1).otherwise(-1).alias("side"))
     found = labels.meta_label(labels.triple_barrier(n, e, 5, 5.0, 4.0), "side_return")
     return rounded(found, "event_id", "symbol", "trade_date", "barrier", "touched", "side_return", "label", "meta_label")
 
@@ -231,6 +252,17 @@ q AS (SELECT *, CASE WHEN quarter(period) = 1 THEN ytd WHEN quarter(lag(period)
 SELECT symbol, period, {r6('ytd', 'ytd', 2)}, {r6('ytd_q', 'ytd_q', 2)} FROM q""")
 def quarterly_flows(spark, d):
     r = reports(spark, d).filter("n % 9 <> 0").withColumn("ytd", F.sum("value").over(R.by("symbol", F.year("period")).orderBy("period")))
+    return _quarterly_flows(r)
+
+
+@query(SQL["quarterly_flows"].replace("sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) AS ytd FROM reports WHERE n % 9 <> 0", "CASE WHEN n % 9 <> 0 THEN sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) END AS ytd FROM reports"))
+def quarterly_flows_all(spark, d):
+    """The flows of all reports; gaps are missing values."""
+    ytd = F.sum("value").over(R.by("symbol", F.year("period")).orderBy("period"))
+    return _quarterly_flows(reports(spark, d).withColumn("ytd", F.when(F.col("n") % 9 != 0, ytd)))
+
+
+def _quarterly_flows(r):
     return rounded(labels.quarterly(r, ["ytd"], "symbol", "period", "available"), "symbol", "period", "ytd", "ytd_q", digits=2)
 
 
