@@ -10,7 +10,9 @@ make by itself: only the others are looked up.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,9 +29,9 @@ DEFAULT_KEY = b"an installation sets its own key"
 
 #: Titles before a name, by gender.
 TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "Signora", "Госпожа"],
-    "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur", "Signor", "Господин"],
-    "n": ["Prof", "Professor"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "Signora", "Lady", "Dame", "Госпожа"],
+    "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur", "Signor", "Sir", "Lord", "Господин"],
+    "n": ["Prof", "Professor", "Dr", "Doctor", "Mx"],
 }
 #: Given names by script and gender.
 GIVEN = {
@@ -55,14 +57,17 @@ PATTERNS: list[tuple[str, Callable[[str], bool], re.Pattern]] = [
     ("email", lambda t: "@" in t, re.compile(r"(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})")),
     ("iban", lambda t: True, re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)\b")),
     ("phone", lambda t: "+" in t, re.compile(rf"(?P<v>\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?{NO_OTHER}\d{{2,4}}){{2,4}})(?!\d)")),
-    ("phone", lambda t: True, re.compile(r"(?<![\w+.-])(?P<v>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\w-])")),
-    ("card", lambda t: True, re.compile(r"(?<![\w.-])(?P<v>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{13})(?![\w-])")),
+    ("phone", lambda t: True, re.compile(r"(?<![\w+.-])(?P<v>(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])")),
+    ("card", lambda t: True, re.compile(r"(?<![\w.-])(?P<v>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|3[47]\d{2}([ -]?)\d{6}\3\d{5}|3(?:0[0-5]|[689]\d)\d([ -])\d{6}\4\d{4})(?![\w-])")),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("ip", lambda t: "." in t, re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)")),
+    ("ipv6", lambda t: t.count(":") > 1, re.compile(r"(?i)(?<![\w:.])(?P<v>(?:[\da-f]{1,4}:){7}[\da-f]{1,4}|(?:[\da-f]{1,4}(?::[\da-f]{1,4}){0,5})?::[\da-f]{1,4}(?::[\da-f]{1,4}){0,5}|[\da-f]{1,4}(?::[\da-f]{1,4}){0,6}::)(?![\w:]|\.\d)")),
 ]
 NEED_DIGITS = {"iban", "phone", "card", "ssn", "ip"}
 TWO_DIGITS = re.compile(r"\d")
-TITLED = re.compile(rf"\b(?P<t>{'|'.join(t for ts in TITLES.values() for t in ts)})\b\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
+TITLE = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b"
+TITLED = re.compile(rf"\b(?P<t>{TITLE}(?:\.? {TITLE})*)\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
+POSSESSIVE = re.compile(r"['’]s$")
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -79,24 +84,49 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span("v")
+            if kind == "ipv6" and not is_ipv6(m["v"]):
+                continue
             if not any(a < y and x < b for x, y, *_ in found):
                 found.append((a, b, kind, canonical(kind, m["v"])))
     if any(t in text for t in TITLE_GENDER):
+        names: dict[str, str] = {}  # of the document, with their kinds
         for m in TITLED.finditer(text):
             at, words = m.start("v"), m["v"].split(" ")
-            for k, word in enumerate(words):
-                kind = f"surname:{script_of(word)}" if k == len(words) - 1 else f"given:{script_of(word)}:{TITLE_GENDER[m['t']]}"
+            gender = next((g for t in re.findall(r"\w+", m["t"]) if (g := TITLE_GENDER[t]) != "n"), "n")
+            for k, whole in enumerate(words):
+                word = POSSESSIVE.sub("", whole)
+                kind = f"surname:{script_of(word)}" if k == len(words) - 1 else f"given:{script_of(word)}:{gender}"
                 if not any(at < y and x < at + len(word) for x, y, *_ in found):
                     found.append((at, at + len(word), kind, word.lower()))
-                at += len(word) + 1
+                    if len(word) > 1:
+                        names.setdefault(word, kind)
+                        names.setdefault(word.upper(), kind)
+                at += len(whole) + 1
+        if names:
+            taken = sorted(found)
+            starts = [x for x, *_ in taken]
+            for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?![\w-])", text):
+                k = bisect.bisect_left(starts, m.end())
+                if not k or taken[k - 1][1] <= m.start():
+                    found.append((*m.span(), names[m[0]], m[0].lower()))
     return sorted(found)
 
 
+def is_ipv6(value: str) -> bool:
+    """Whether it is an address with a number; words of code that look like one, as add::face, are none."""
+    try:
+        return any(c.isdigit() for c in value) and int(ipaddress.IPv6Address(value)) > 0
+    except ValueError:
+        return False
+
+
 def canonical(kind: str, value: str) -> str:
     if kind in ("card", "ssn", "phone"):
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     return value.lower() if kind in ("email", "token") else value
 
 
@@ -152,6 +182,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{draw.like(box + longer)}@{host}"
     if kind == "ip":
         return ".".join(str(draw.below(254) + 1) for _ in range(4))
+    if kind == "ipv6":  # groups of zeros stay
+        return ":".join(f"{draw.below(0xFFFF) + 1:04x}" if g != "0000" or longer else g for g in value.split(":"))
     if kind == "phone":
         keep = max(0, len(value) - 10)  # of a country code
         return value[:keep] + draw.like(value[keep:])
@@ -186,6 +218,12 @@ def rendered(kind: str, original: str, spelt: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         signs = iter(spelt)
         return "".join(next(signs) if c.isalnum() else c for c in original)
+    if kind == "ipv6":
+        if "::" in original:
+            spelt = ipaddress.IPv6Address(spelt).compressed
+        elif min(map(len, original.split(":"))) < 4:
+            spelt = ":".join(f"{int(g, 16):x}" for g in spelt.split(":"))
+        return spelt.upper() if original.upper() == original and original.lower() != original else spelt
     if kind == "email" or kind == "token" or kind.startswith(("given:", "surname:")):
         if original.isupper() and any(c.isalpha() for c in original):
             return spelt.upper()

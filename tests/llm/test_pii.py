@@ -98,3 +98,33 @@ def test_collisions_are_redrawn(spark):
 def test_awkward(awkward, no_rows):
     assert sorted(map(tuple, pii.pseudonymised(awkward, KEY).collect()), key=repr) == sorted(((i, t, "x", 7) for i, t in AWKWARD), key=repr)
     assert pii.pseudonymised(no_rows, KEY).collect() == []
+
+
+def kinds_of(text):
+    return {(text[a:b], kind.split(":")[0]) for a, b, kind, _ in pii.entities(text)}
+
+
+def test_wider_detection():
+    assert kinds_of("Ask Dr. Anna Smith, Sir Paul Moore or Lady Jane; Mx. Kim Lee, Doctor Wells.") == {("Anna", "given"), ("Smith", "surname"), ("Paul", "given"), ("Moore", "surname"), ("Jane", "surname"), ("Kim", "given"), ("Lee", "surname"), ("Wells", "surname")}
+    assert [e[2:] for e in pii.entities("Frau Prof. Dr. Anna Huber")] == [("given:latin:f", "anna"), ("surname:latin", "huber")]
+    assert kinds_of("Call 555 123 4567, (555) 123 4567 or 555-123-4567.") == {("555 123 4567", "phone"), ("(555) 123 4567", "phone"), ("555-123-4567", "phone")}
+    assert kinds_of("Cards 3782 822463 10005, 378282246310005 and 3056-930902-5904.") == {("3782 822463 10005", "card"), ("378282246310005", "card"), ("3056-930902-5904", "card")}
+    assert kinds_of("From 2001:db8::8a2e:370:7334 to 2001:0DB8:0:0:0:0:0:1, at 12:30:45, std::add, add::face, a::, ::.") == {("2001:db8::8a2e:370:7334", "ipv6"), ("2001:0DB8:0:0:0:0:0:1", "ipv6")}
+
+
+def test_bare_mentions_of_titled_names():
+    text = "Dr. Anna Smith left. Smith's key, SMITH and Anna; Smithson and anna stay. Mrs. Smith"
+    new, kinds = pii.replaced(text, pii.DEFAULT_KEY, lambda kind, value: None)
+    surname = pii.surrogate(pii.DEFAULT_KEY, "surname:latin", "smith", 0).capitalize()
+    given = pii.surrogate(pii.DEFAULT_KEY, "given:latin:n", "anna", 0).capitalize()
+    assert new == f"Dr. {given} {surname} left. {surname}'s key, {surname.upper()} and {given}; Smithson and anna stay. Mrs. {surname}"
+    assert len(kinds) == 6
+
+
+def test_ipv6_surrogates_are_addresses_in_the_format_of_the_mention():
+    import ipaddress
+
+    new, _ = pii.replaced("2001:db8::1 and 2001:0db8:0000:0000:0000:0000:0000:0001", pii.DEFAULT_KEY, lambda kind, value: None)
+    short, _, long = new.partition(" and ")
+    assert "::" in short and len(long) == 39
+    assert ipaddress.IPv6Address(short) == ipaddress.IPv6Address(long) != ipaddress.IPv6Address("2001:db8::1")
