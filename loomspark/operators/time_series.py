@@ -277,6 +277,65 @@ def stationarity(df: DataFrame, column: str, lags: int = 1, least_window: int |
     return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("adf_t", "sadf")})
 
 
+def adf_t_by_start(x: np.ndarray, least_window: int, lags: int = 1) -> np.ndarray:
+    """``adf_t`` of x[k:] for each k that leaves a least window; x has no missing values.
+
+    Sums of products from each beginning on give all regressions at once; those that are nearly singular or leave
+    nearly nothing are done one by one.
+    """
+    starts = len(x) - least_window + 1
+    dx = np.diff(x)
+    n = len(dx) - lags - np.arange(max(0, starts))
+    if starts < 1 or n[0] <= lags + 2:
+        return np.full(max(0, starts), math.nan)
+    columns = [x[lags:-1] - x.mean(), np.ones(n[0]), *(dx[lags - k : len(dx) - k] for k in range(1, lags + 1)), dx[lags:]]
+    a = np.column_stack(columns)
+    sums = np.cumsum((a[:, :, None] * a[:, None, :])[::-1], axis=0)[::-1]
+    out = np.full(starts, math.nan)
+    enough = np.flatnonzero(n > lags + 2)
+    g, xy, yy = sums[enough, :-1, :-1], sums[enough, :-1, -1], sums[enough, -1, -1]
+    scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 1e-300))
+    unit = g / scale[:, :, None] / scale[:, None, :]
+    sound = np.linalg.det(unit) > 1e-7
+    inverse = np.linalg.inv(np.where(sound[:, None, None], unit, np.eye(g.shape[1])))
+    beta = (inverse @ (xy / scale)[:, :, None])[:, :, 0]
+    left = yy - (beta * xy / scale).sum(1)
+    sound &= left > 1e-7 * yy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = beta[:, 0] / np.sqrt(left / (n[enough] - g.shape[1]) * inverse[:, 0, 0])
+    out[enough] = t
+    for k in enough[~sound].tolist():
+        out[k] = adf_t(x[k:], lags)
+    return out
+
+
+def sup_adf(df: DataFrame, column: str, least_window: int, lags: int = 1, block: int = 64, panel: Panel = PANEL) -> DataFrame:
+    """entity, date, sadf: for each end date from the least window on, the greatest ADF t over all beginnings.
+
+    Missing values are left out before. A task has a block of an entity's end dates, and its history up to them.
+    NULL where no beginning has a t.
+    """
+    known = df.select(panel.entity, panel.date, column).filter(F.col(column).isNotNull() & ~F.isnan(column))
+    known = known.withColumns({"_n": F.row_number().over(panel.history()), "_all": F.count(F.lit(1)).over(Window.partitionBy(panel.entity))})
+    blocks = F.sequence(F.floor((F.col("_n") - 1) / block), F.floor((F.col("_all") - 1) / block))
+    spread = known.withColumn("_block", F.explode(blocks))
+
+    def compute(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n")
+        x, b = group[column].to_numpy(float), int(group["_block"].iloc[0])
+        ends = range(max(b * block + 1, least_window), len(x) + 1)
+        values = []
+        for end in ends:
+            t = adf_t_by_start(x[:end], least_window, lags)
+            values.append(np.nanmax(t) if not np.isnan(t).all() else math.nan)
+        at = [e - 1 for e in ends]
+        return pd.DataFrame({panel.entity: group[panel.entity].to_numpy()[at], panel.date: group[panel.date].to_numpy()[at], "sadf": values})
+
+    types = {c: df.schema[c].dataType.simpleString() for c in (panel.entity, panel.date)}
+    found = spread.groupBy(panel.entity, "_block").applyInPandas(compute, f"{panel.entity} {types[panel.entity]}, {panel.date} {types[panel.date]}, sadf double")
+    return found.withColumn("sadf", F.nanvl("sadf", F.lit(None).cast("double")))
+
+
 def symmetric_cusum(df: DataFrame, column: str, threshold: float, drift: float = 0.0, panel: Panel = PANEL) -> DataFrame:
     """entity, date, direction, statistic: where a two-sided sum of changes passes the threshold and starts again."""
 

@@ -253,6 +253,7 @@ for _name, _f in {
     "ewm_volatility": lambda df: ts.ewm_volatility(df, "close", 20),
     "fractional_difference": lambda df: ts.fractional_difference(df, "close", 0.4, 1e-3),
     "stationarity": lambda df: ts.stationarity(df, "close"),
+    "sup_adf": lambda df: ts.sup_adf(df, "close", 40),
     "symmetric_cusum": lambda df: ts.symmetric_cusum(df, "close", 500.0, 5.0),
 }.items():
 

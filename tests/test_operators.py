@@ -273,3 +273,15 @@ def test_bootstrapped_paths(spark):
     same = controls.block_bootstrap(series.filter("r = 0.02"), "r", "d", 3, 5).collect()
     assert all(r.sharpe is None or r.sharpe > 1e6 for r in same) and all(r.max_drawdown == 0 for r in same)
     assert controls.block_bootstrap(series.filter("false"), "r", "d").collect() == []
+
+
+def test_sup_adf_by_a_double_loop(walk):
+    got = frame(ts.sup_adf(walk.withColumn("v", F.when(F.dayofmonth("trade_date") != 3, F.col("close"))), "v", 20, block=7))
+    want = {}
+    for s, g in walk.toPandas().sort_values("trade_date").groupby("symbol"):
+        g = g[[d.day != 3 for d in g["trade_date"]]].dropna(subset="close")
+        x = g["close"].to_numpy(float)
+        for end in range(20, len(x) + 1):
+            t = [v for k in range(end - 19) if not math.isnan(v := ts.adf_t(x[k:end]))]
+            want[s, g["trade_date"].iloc[end - 1]] = max(t)
+    assert {(r.symbol, r.trade_date): r.sadf for r in got.itertuples()} == pytest.approx(want) and want
