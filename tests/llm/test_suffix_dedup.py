@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import suffix_dedup as sd
 from loomspark.llm.common import read
@@ -53,25 +54,57 @@ def test_random(spark, seed):
     assert rows_of(sd.removal_digests(frame(spark, rows))) == expected(rows)
 
 
-def test_texts_longer_than_a_block():
+def test_small_blocks_and_hot_buckets(spark, monkeypatch):
+    """Texts that come in pieces, buckets dealt by strings, and salted grams give the same rows."""
     rows = random_rows(9)
-    joined = "".join(t for _, t in rows)
-    kept, sd.BLOCK = sd.BLOCK, 700
-    try:
-        batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "text": [joined]})
-        runs = [x for b in sd.find_runs(iter([batch])) for x in b.to_pylist()]
-        covered = sorted({s for x in runs for s in range(x["lo"], x["hi"] + 1)})
-        assert covered == [*range(len(joined.encode()) - sd.LENGTH + 1)]
-        whole = [{"lo": 0, "hi": len(joined.encode()) - sd.LENGTH, "whole": False}]
-        batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "text": [joined], "runs": [whole]})
-        starts = [x for b in sd.find_starts(iter([batch])) for x in b.to_pylist()]
-        data = joined.encode()
-        want = Counter(data[k : k + sd.LENGTH] for k in range(len(data) - sd.LENGTH + 1))
-        assert {k for x in starts if x["mark"] for k in range(x["lo"], x["hi"] + 1)} == {k for k in range(len(data) - sd.LENGTH + 1) if want[data[k : k + sd.LENGTH]] > 1}
-        assert len({(x["c1"], x["c2"]) for x in starts if not x["mark"]}) == len(want)
-        assert np.isin([x["lo"] for x in starts if not x["whole"]], covered).all()
-    finally:
-        sd.BLOCK = kept
+    rows += [(600, "".join(t for _, t in rows)), (601, rows[3][1] + "".join(t for _, t in rows[:40]))]
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "text": [rows[-1][1]]})
+    monkeypatch.setattr(sd, "BLOCK", 700)
+    data = rows[-1][1].encode()
+    every = lambda x: np.ones(len(x), bool)
+    runs = [x for b in sd.find_runs(iter([batch]), every, np.zeros(0, np.int64)) for x in b.to_pylist()]
+    assert sorted({s for x in runs for s in range(x["lo"], x["hi"] + 1)}) == [*range(len(data) - sd.LENGTH + 1)]
+    monkeypatch.setattr(sd, "HOT", 2)
+    assert rows_of(removal_digests_of(spark, rows)) == expected(rows)
+
+
+def test_a_text_of_many_blocks(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(sd.BLOCK + 50_000))
+    rows = [(1, long), (2, "x" * 300 + long[sd.BLOCK - 700 : sd.BLOCK + 700]), (3, long[: sd.BLOCK - 100][-450:])]
+    assert rows_of(removal_digests_of(spark, rows)) == expected(rows)
+
+
+def removal_digests_of(spark, rows):
+    return sd.removal_digests(frame(spark, rows))
+
+
+def test_common_passage_in_unlike_texts(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(260), word(230)
+    rows = [(i, word(r.randint(0, 90)) + (passage if i % 3 else other + passage[:190]) + word(r.randint(0, 90))) for i in range(240)]
+    rows += [(i, "the same text of many rows " * 12) for i in [1000] * 40 + [None] * 40]
+    assert rows_of(removal_digests_of(spark, rows)) == expected(rows)
+
+
+def test_equal_members_beyond_a_block(monkeypatch):
+    """A bucket that goes on through many batches, nearly all of one document: other members are still found."""
+    monkeypatch.setattr(sd, "HOT", 4)
+    around = bytes(range(100))
+    row = {"a": 1, "b": 1, "lo": 500, "hi": 549, "bucket": 7, "check": 7, "x0": 0, "x1": 49, "around": around, "whole": False, "mark": False}
+    rows = [row] * 60 + [{**row, "a": 2, "around": around[:75] + b"x" * 25}]
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 5], pa.schema([*sd.KEY, *sd.MEMBER])) for k in range(0, len(rows), 5)]
+    marks = [x for b in sd.refine_members(iter(batches)) for x in b.to_pylist()]
+    assert {s for x in marks if x["a"] == 1 for s in range(x["lo"], x["hi"] + 1)} == {*range(500, 550)}
+    assert {s for x in marks if x["a"] == 2 for s in range(x["lo"], x["hi"] + 1)} == {*range(500, 525)}  # 25 … 49 bytes before
+
+
+def test_removing_the_refined_buckets_changes_the_result(spark, monkeypatch):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    whole = rows_of(sd.removal_digests(docs))
+    monkeypatch.setattr(sd, "refined", lambda rows, name: rows.withColumn("n", F.lit(2)).withColumn("bucket", F.xxhash64("a", "b", "at", "place")).drop("x", "y"))
+    assert rows_of(sd.removal_digests(docs)) != whole
 
 
 def test_awkward(awkward, no_rows):
