@@ -3,13 +3,17 @@
 A prefix of a word has one valid encoding; its last token, with the last tokens of shorter prefixes, gives the
 whole. Words of a batch are put into a trie, and a depth-first walk finds the last token of each node from those
 of its ancestors: the one token that ends there and can stand after the last token where it begins. What words
-share is therefore worked out once.
+share is therefore worked out once. The trie is held in preorder: its words sorted, and for each the depth at which
+its branch leaves that of the word before; the walk holds the states of one branch, so that a very long word takes a
+few bytes a letter.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -23,6 +27,8 @@ from loomspark.llm.common import arrow, id_and_text
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 NEVER = 1 << 60
+#: Pairs of tokens of which a worker remembers whether they can stand side by side.
+KNOWN = 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -83,12 +89,12 @@ class Merges:
     def beside(self, left: int, right: int) -> bool:
         """Whether the two tokens' joined string is encoded as the two."""
         if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > KNOWN:
                 self.fits.clear()
             known = self.fits[left, right] = self.alone(right) and self._apart(left, right, NEVER)
         return known
 
-    def last(self, tail: str, depth: int, lasts: list[int], vocab: dict[str, int]) -> tuple[int, int]:
+    def last(self, tail: str, depth: int, lasts: array, vocab: dict[str, int]) -> tuple[int, int]:
         """The last token of a prefix's encoding and its length. tail: as many of the prefix's letters as a token can
         have; depth: the prefix's length; lasts[n]: the last token of its first n letters."""
         begin = depth - len(tail)
@@ -100,36 +106,25 @@ class Merges:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, a string of byte letters. The trie holds all letters but a word's last, which the
-        vocabulary spells in another way, and at each node the words that end one letter below it."""
-        root: dict = {}
-        for w, word in enumerate(words):
-            node = root
-            for letter in word[:-1]:
-                node = node.setdefault(letter, {})
-            node.setdefault("", []).append(w)
+        vocabulary spells in another way."""
         out: list[list[int]] = [[]] * len(words)
-        tails, lasts, sizes = [""], [0], [0]  # by depth, on the way from the root
-        stack = [(root, "", 0)]
-        while stack:
-            node, letter, depth = stack.pop()
-            if depth:
-                del tails[depth:], lasts[depth:], sizes[depth:]
-                tail = (tails[-1] + letter)[-self.longest :]
-                token, size = self.last(tail, depth, lasts, self.inner)
-                tails.append(tail)
+        lasts, sizes = array("i", [0]), array("i", [0])  # by depth, on the branch
+        branch = ""
+        for w in sorted(range(len(words)), key=words.__getitem__):
+            word = words[w]
+            leaves = len(os.path.commonprefix([branch, word[:-1]]))
+            branch = word[:-1]
+            del lasts[leaves + 1 :], sizes[leaves + 1 :]
+            for depth in range(leaves + 1, len(word)):
+                token, size = self.last(word[max(0, depth - self.longest) : depth], depth, lasts, self.inner)
                 lasts.append(token)
                 sizes.append(size)
-            for key, below in node.items():
-                if key:
-                    stack.append((below, key, depth + 1))
-                    continue
-                for w in below:
-                    token, size = self.last((tails[-1] + words[w][-1])[-self.longest :], depth + 1, lasts, self.final)
-                    ids, at = [token], depth + 1 - size
-                    while at:
-                        ids.append(lasts[at])
-                        at -= sizes[at]
-                    out[w] = ids[::-1]
+            token, size = self.last(word[-self.longest :], len(word), lasts, self.final)
+            ids, at = [token], len(word) - size
+            while at:
+                ids.append(lasts[at])
+                at -= sizes[at]
+            out[w] = ids[::-1]
         return out
 
 

@@ -183,7 +183,7 @@ def ragged(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of distinct pieces, kept from batch to batch up to a bound. encode: ids of each of a list of pieces."""
 
-    def __init__(self, encode, most: int = 1 << 20):
+    def __init__(self, encode, most: int = 1 << 18):
         self.encode, self.most = encode, most
         self.clear()
 

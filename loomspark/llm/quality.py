@@ -3,7 +3,8 @@
 Tokens are words and runs of ASCII punctuation. Their uni- and bigrams are hashed into ``BUCKETS``; the ratio is that
 of two multinomials over the buckets, one of trusted documents, one of the whole corpus. A document's mean weight
 decides: it is dropped if its grams are, on average, markedly rarer among the trusted than in the corpus at large.
-Weights are whole numbers, so that sums do not depend on the order of tasks.
+Weights are whole numbers, so that sums do not depend on the order of tasks. They are a constant array of the plan, in
+which each document looks its grams up: scoring and filtering move no row.
 """
 
 from __future__ import annotations
@@ -51,13 +52,21 @@ def repeated_words(words: Column) -> Column:
     return bound(hashes, covered).cast("long")
 
 
+def words_of(text: Column | str) -> Column:
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def tokens_of(text: Column | str) -> Column:
+    return words_of(F.regexp_replace(text, r"([!-/:-@\[-`{-~]+)", " $1 "))
+
+
 def base_columns(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"\S"))
     return (
         docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-        .withColumn("words", F.array_remove(F.split("text", r"\s+"), ""))
+        .withColumn("words", words_of("text"))
         .select(
             "doc_id",
             "text",
@@ -73,8 +82,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def grams(docs: DataFrame, buckets: int) -> DataFrame:
     """docs with a row for each token: place, and the buckets of the token (one) and of it and the next (two)."""
-    tokens = F.array_remove(F.split(F.regexp_replace("text", r"([!-/:-@\[-`{-~]+)", " $1 "), r"\s+"), "")
-    rows = docs.withColumn("tokens", tokens).withColumn("pairs", F.arrays_zip(F.col("tokens"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))).alias("next")))
+    rows = docs.withColumn("tokens", tokens_of("text")).withColumn("pairs", F.arrays_zip(F.col("tokens"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))).alias("next")))
     rows = rows.select(*docs.columns, F.posexplode_outer("pairs").alias("place", "pair"))
     in_bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
     return rows.select(
@@ -103,34 +111,54 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
     return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
+def weighed(tokens: Column, table: list[int]) -> Column:
+    """The sum of the weights of the uni- and bigrams of an array of tokens; table: the weight of each bucket."""
+    array = F.from_json(F.lit(str(table)), "array<bigint>")  # folded into one constant
+    weight = lambda *c: F.get(array, F.pmod(F.xxhash64(*c), F.lit(len(table))).cast("int"))
+
+    def total(t: Column) -> Column:
+        both = F.transform(t, lambda x, i: weight(x) + F.when(i < F.size(t) - 1, weight(x, F.get(t, i + 1))).otherwise(F.lit(0)))
+        return F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return bound(tokens, total)
+
+
+def weight_table(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -> list[int]:
+    """The weight of each bucket, 0 for one without a token."""
+    out = [0] * buckets
+    for row in weights(docs, labels, buckets, trusted).collect():  # at most one row for each bucket
+        out[row["bucket"]] = row["weight"]
+    return out
+
+
+def n_grams(tokens: Column) -> Column:
+    return (F.size(tokens) + F.greatest(F.size(tokens) - 1, F.lit(0))).cast("long")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and mean_weight: one
     row for each row of ``docs``.
 
     mean_weight is in nats a gram; null for a text without words, which has failed the base rules. Null text has no
-    words. keyed: a further column, digest, is the text's hash. Repeated rows and null ids stay; other columns are ignored, and nothing is kept or dropped by doc_id.
+    words. Empty and very long texts are judged as any other, and an empty table gives no rows. Repeated rows and null
+    ids stay; other columns are ignored, and nothing is kept or dropped by doc_id.
     """
-    table = weights(docs, labels, buckets, trusted)  # at most one row for each bucket
-    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = grams(base_columns(docs).withColumn("digest", F.xxhash64("text")), buckets)
-    one = F.broadcast(table.select(F.col("bucket").alias("one"), F.col("weight").alias("weight_one")))
-    two = F.broadcast(table.select(F.col("bucket").alias("two"), F.col("weight").alias("weight_two")))
-    scored = rows.join(one, "one", "left").join(two, "two", "left")
-    # all rows of a text stand in one task and are summed there: a row for each text is shuffled
-    total = scored.groupBy(*keys, "digest").agg(
-        F.sum(F.coalesce("weight_one", F.lit(0)) + F.coalesce("weight_two", F.lit(0))).alias("weight"),
-        (F.count("one") + F.count("two")).alias("grams"),
-        F.count(F.when(F.coalesce("place", F.lit(0)) == 0, 1)).alias("copies"),
-    )
+    table = weight_table(docs, labels, buckets, trusted)
+    rows = base_columns(docs).withColumn("tokens", tokens_of("text"))
+    total = rows.withColumn("weight", weighed(F.col("tokens"), table)).withColumn("grams", n_grams(F.col("tokens")))
     verdict = total.withColumn("mean_weight", F.expr(f"try_divide(cast(weight as double), grams * cast({UNIT} as double))"))
-    verdict = verdict.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("weight") >= F.col("grams") * F.lit(round(threshold * UNIT)), F.lit(False)))
-    return verdict.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*keys, "kept", "mean_weight", *(["digest"] if keyed else []))
+    verdict = verdict.withColumn("kept", ~F.col("base_failed") & (F.col("weight") >= F.col("grams") * F.lit(round(threshold * UNIT))))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_weight")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that the quality rules keep."""
-    verdicts = quality_rules(docs, labels, buckets, trusted, threshold, keyed=True)
-    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    gone = verdicts.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
-    # rows of one id and text have one verdict
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
+    """The rows of ``docs``, all columns unchanged whatever their names, that the quality rules keep.
+
+    A filter: no row is moved. Null, empty and short texts fail the base rules and go; repeated rows share a verdict.
+    An empty table gives no rows.
+    """
+    table = weight_table(docs, labels, buckets, trusted)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    enough = bound(words_of(text), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w).cast("long")))
+    liked = bound(tokens_of(text), lambda t: weighed(t, table) >= n_grams(t) * F.lit(round(threshold * UNIT)))
+    return docs.filter(enough & liked)
