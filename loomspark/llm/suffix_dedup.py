@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import through_table
+from loomspark.llm.common import Concerned, bit_map, through_table
 from loomspark.llm.pretoken import BASE, mixed, powers
 
 LENGTH = 200
@@ -42,8 +42,6 @@ PLACES = (-2 * GRAM, -GRAM, 0)
 #: Bytes that a task holds at once, 2 ** 24 at most.
 BLOCK = 1 << 19
 NO_ID = -(1 << 63)
-#: Bits of the maps of texts that are concerned and of grams that are shared, a power of two; they are broadcast.
-MAP_BITS = 1 << 26
 #: Members of a core's bucket that one task compares.
 HOT = 1 << 12
 #: Grams of more than HOT runs and of more than this part of all are dealt into SALTS parts; their list is broadcast.
@@ -461,6 +459,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # rows of the same id and text share a key, and have the same strings repeated
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("a", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("b", F.xxhash64("text"))
+    key = F.xxhash64("a", "b")
     texts = keyed.filter(F.octet_length("text") >= LENGTH).select("a", "b", "text")
     grams = texts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     shared = through_table(grams.filter("n > 1"), "shared-grams")
@@ -474,7 +473,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cores = through_table(refined_cores(compared_runs.filter("not mark")), "cores")
     # at most three cores for each run of a text
     by_text = cores.groupBy("a", "b").agg(F.collect_list(F.struct("at", "place", "lo", "hi", "n", "bucket", "whole")).alias("cores"))
-    of = Concerned(cores, texts).some().join(by_text, ["a", "b"])
+    of = Concerned(cores.select(key).distinct(), texts, key).some().join(by_text, ["a", "b"])
     members = of.select("a", "b", F.col("text").cast("binary"), "cores").mapInArrow(lambda batches: find_members(batches, HOT), MEMBER_SCHEMA)
     ordered = members.repartition("bucket").sortWithinPartitions("bucket", "check", "around")
     found = through_table(ordered.mapInArrow(refine_members, MARK_SCHEMA), "marked-members")
@@ -498,7 +497,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(b"".join(data[a:b] for a, b in zip(at[::2], at[1::2])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, schema.field(2).type), pa.array(kept, pa.binary())], schema=schema)
 
-    concerned = Concerned(spans, keyed)
+    concerned = Concerned(spans.select(key), keyed, key)
     joined = concerned.some().join(spans, ["a", "b"], "left").select("doc_id", "text", "spans")
     cut_schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     rest = concerned.others().select("doc_id", F.col("text").cast("binary").alias("kept"))
@@ -506,47 +505,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, cut_schema).union(rest.select("doc_id", F.octet_length("kept").cast("long"), no_spans, "kept"))
 
 
-def bit_map(values: DataFrame):
-    """A function that says of each of an array of longs, hashes all, whether it may be among the one column's values,
-    by a map of MAP_BITS bits."""
-    bit = F.col(values.columns[0]).bitwiseAND(F.lit(MAP_BITS - 1))
-    set_bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")))
-    words = values.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(set_bits.alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    shared = values.sparkSession.sparkContext.broadcast(bits)
-
-    def there(x: np.ndarray) -> np.ndarray:
-        place = x & (MAP_BITS - 1)
-        return ((shared.value[place >> 6] >> (place & 63)) & 1).astype(bool)
-
-    return there
-
-
-class Concerned:
-    """Texts (a, b, text, …) that may be among the keys (a, b), and those that are not, by a map of MAP_BITS bits."""
-
-    def __init__(self, keys: DataFrame, texts: DataFrame):
-        self.texts = texts
-        self.there = bit_map(keys.select(F.xxhash64("a", "b").alias("key")).distinct())
-
-    def _chosen(self, wanted: bool) -> DataFrame:
-        names, there = self.texts.columns, self.there
-
-        def choose(batches):
-            for batch in batches:
-                keep = there(batch.column(len(names)).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(keep == wanted)).select(names)
-
-        return self.texts.withColumn("_key", F.xxhash64("a", "b")).mapInArrow(choose, self.texts.schema)
-
-    def some(self) -> DataFrame:
-        return self._chosen(True)
-
-    def others(self) -> DataFrame:
-        return self._chosen(False)
-
-
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what without_repeats gives."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

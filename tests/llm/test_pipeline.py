@@ -1,11 +1,12 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomspark.llm import pii
 from loomspark.llm.common import read
-from tests.llm import test_decontamination, test_quality, test_simhash
+from tests.llm import test_decontamination, test_near_dedup, test_quality
 from tests.llm.test_tokens import WORDS
 from tests.llm.conftest import rows_of
 
@@ -15,8 +16,7 @@ def test_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in read(spark, d, "documents").collect()}
     trusted = {r.doc_id for r in read(spark, d, "labels").collect() if r.quality == 1}
     kept = {r[0]: docs[r[0]] for r in test_quality.expected(list(docs.items()), trusted) if r[-1]}
-    groups = test_simhash.expected([(i, test_simhash.fingerprint(t)) for i, t in kept.items()])
-    kept = {i: kept[i] for i, _, c in groups if i == c}
+    kept = {i: kept[i] for i in test_near_dedup.kept(kept)}
     items = [tuple(r) for r in read(spark, d, "benchmark").collect()]
     for i, *_ in test_decontamination.expected(list(kept.items()), items):
         kept.pop(i, None)
@@ -31,6 +31,23 @@ def test_against_brute_force(spark):
     assert 0 < len(want) < len(docs)
 
 
+def test_empty_and_hard_tables(spark):
+    """A pipeline of no documents gives none; clashing columns and nulls pass all stages but the last."""
+    d = "/root/testdata/sf0.001"
+    docs = read(spark, d, "documents").limit(30)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, d).collect() == []
+    names = "gone_id digest row root node key stays n n_entities component_id".split()
+    hard = docs.union(spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "x", 0)], docs.schema))
+    for name in names:
+        hard = hard.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, hard, d)
+        assert got.columns == hard.columns
+        assert all(r[n] == n for r in got.collect() for n in names)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     d = "/root/testdata/sf0.001"
     docs = read(spark, d, "documents").limit(40)
