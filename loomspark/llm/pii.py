@@ -4,8 +4,9 @@ An entity is a kind and a canonical spelling, so that a phone number written in
 titles, is one entity and has one surrogate throughout the corpus. A surrogate is drawn by a keyed hash of entity and
 attempt, letter for letter and digit for digit; card and account numbers keep their issuer or country, and have
 check digits that fit if those of the original do. Entities whose surrogates collide, with each other's or with an
-entity of the corpus, draw again, all but one, until none do. Nearly all keep the first draw, which any task can
-make by itself: only the others are looked up.
+entity of the corpus, draw again, all but one, until none do; what is drawn from grows with the attempts, so that
+this ends for any number of entities. Nearly all keep the first draw, which any task can make by itself: only the
+others are looked up.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import bisect
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +70,7 @@ NEED_DIGITS = {"iban", "phone", "card", "ssn", "ip"}
 TWO_DIGITS = re.compile(r"\d")
 TITLE = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b"
 TITLED = re.compile(rf"\b(?P<t>{TITLE}(?:\.? {TITLE})*)\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
+WORD = re.compile(r"(?<![\w-])[\w-]+(?:['’][\w-]+)*")
 POSSESSIVE = re.compile(r"['’]s$")
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
@@ -75,41 +79,69 @@ def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+class Found:
+    """Entities found so far, in order and apart from each other."""
+
+    def __init__(self):
+        self.entities: list[tuple[int, int, str, str]] = []
+
+    def add(self, new: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+        """Add those that overlap none found before; returns them. new: in order, and apart from each other."""
+        starts, ends = [x for x, *_ in self.entities], [x for _, x, *_ in self.entities]
+        fresh = [e for e in new if (k := bisect.bisect_right(ends, e[0])) == len(starts) or starts[k] >= e[1]]
+        if fresh:
+            self.entities = sorted(self.entities + fresh)  # two sorted runs: merged in one pass
+        return fresh
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical spelling) of each entity, in order; where two overlap, that of the earlier pattern."""
-    found: list[tuple[int, int, str, str]] = []
+    found = Found()
     digits = TWO_DIGITS.search(text) is not None
     for kind, likely, pattern in PATTERNS:
         if (kind in NEED_DIGITS and not digits) or not likely(text):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span("v")
-            if kind == "ipv6" and not is_ipv6(m["v"]):
-                continue
-            if not any(a < y and x < b for x, y, *_ in found):
-                found.append((a, b, kind, canonical(kind, m["v"])))
+        found.add([(*m.span("v"), kind, canonical(kind, m["v"])) for m in pattern.finditer(text) if IS.get(kind, has_sign)(m["v"])])
     if any(t in text for t in TITLE_GENDER):
-        names: dict[str, str] = {}  # of the document, with their kinds
+        titled, names = [], {}  # of the document, with their kinds
         for m in TITLED.finditer(text):
             at, words = m.start("v"), m["v"].split(" ")
             gender = next((g for t in re.findall(r"\w+", m["t"]) if (g := TITLE_GENDER[t]) != "n"), "n")
             for k, whole in enumerate(words):
                 word = POSSESSIVE.sub("", whole)
                 kind = f"surname:{script_of(word)}" if k == len(words) - 1 else f"given:{script_of(word)}:{gender}"
-                if not any(at < y and x < at + len(word) for x, y, *_ in found):
-                    found.append((at, at + len(word), kind, word.lower()))
-                    if len(word) > 1:
-                        names.setdefault(word, kind)
-                        names.setdefault(word.upper(), kind)
+                titled.append((at, at + len(word), kind, word.lower()))
                 at += len(whole) + 1
-        if names:
-            taken = sorted(found)
-            starts = [x for x, *_ in taken]
-            for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?![\w-])", text):
-                k = bisect.bisect_left(starts, m.end())
-                if not k or taken[k - 1][1] <= m.start():
-                    found.append((*m.span(), names[m[0]], m[0].lower()))
-    return sorted(found)
+        for a, b, kind, _ in found.add(titled):
+            if b - a > 1:
+                names.setdefault(text[a:b], kind)
+                names.setdefault(text[a:b].upper(), kind)
+        found.add([(a, b, names[text[a:b]], text[a:b].lower()) for a, b in mentions_of(names, text)] if names else [])
+    return found.entities
+
+
+def mentions_of(names: dict[str, str], text: str) -> Iterator[tuple[int, int]]:
+    """Where the names stand as words of their own; of those that begin in one place, the longest."""
+    for m in WORD.finditer(text):
+        parts = [0, *(k for k, c in enumerate(m[0]) if c in "'’"), len(m[0])]
+        begin = 0
+        while begin < len(parts) - 1:
+            a = parts[begin] + (begin > 0)
+            end = next((e for e in range(len(parts) - 1, begin, -1) if m[0][a : parts[e]] in names), 0)
+            if end:
+                yield m.start() + a, m.start() + parts[end]
+            begin = end or begin + 1
+
+
+def has_sign(value: str) -> bool:
+    """Whether there is a letter or digit to replace: lines to be filled in have none."""
+    return any(c.isalnum() for c in value)
+
+
+def is_card(value: str) -> bool:
+    """Whether it is of a card issuer and its check digit fits; one in ten other numbers of 16 digits is, too."""
+    digits = canonical("card", value)
+    return digits[0] in "23456" and card_sum(digits) % 10 == 0
 
 
 def is_ipv6(value: str) -> bool:
@@ -120,6 +152,9 @@ def is_ipv6(value: str) -> bool:
         return False
 
 
+IS = {"card": is_card, "ipv6": is_ipv6}
+
+
 def canonical(kind: str, value: str) -> str:
     if kind in ("card", "ssn", "phone"):
         return re.sub(r"\D", "", value)
@@ -155,69 +190,76 @@ class Draw:
         self.left //= n
         return x
 
-    def like(self, text: str, letters: str = "abcdefghijklmnopqrstuvwxyz", digits: str = "0123456789") -> str:
-        """Letters for letters and digits for digits, other signs as they are; Cyrillic letters for such."""
+    def like(self, text: str, digits: str = "0123456789") -> str:
+        """Letters for letters of the same script and case, digits for digits, other signs as they are."""
         out = []
         for c in text:
-            if c.isdigit():
-                out.append(digits[self.below(len(digits))])
-            elif c.isalpha():
-                pool = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else letters
-                x = pool[self.below(len(pool))]
-                out.append(x.upper() if c.isupper() else x)
-            else:
-                out.append(c)
+            pool = digits if c.isdigit() else letters_like(c) if c.isalpha() else c
+            out.append(pool[self.below(len(pool))])
         return "".join(out)
 
 
+@cache
+def letters_like(c: str) -> str:
+    """The letters from which one for ``c`` is drawn: plain ones for Latin and Cyrillic, else those of the same script
+    and case among the 128 code points around it."""
+    plain = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else "abcdefghijklmnopqrstuvwxyz" if "LATIN" in unicodedata.name(c, "LATIN") else ""
+    if plain:
+        return plain.upper() if c.isupper() else plain
+    script, begin = unicodedata.name(c).split(" ")[0], ord(c) & ~127
+    near = map(chr, range(begin, begin + 128))
+    return "".join(x for x in near if x.isalpha() and unicodedata.category(x) == unicodedata.category(c) and unicodedata.name(x, " ").split(" ")[0] == script)
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The canonical surrogate of an entity at an attempt. Draws that repeat lengthen names and mailboxes in the end,
-    so that there are always enough."""
+    """The canonical surrogate of an entity at an attempt. From attempt 8 on surrogates get longer, names from attempt
+    2, so that there are always enough."""
     draw = Draw(key, kind, value, attempt)
-    longer = "x" * max(0, attempt - 7)
+    more = max(0, attempt - 7)
+    digits = "".join(str(draw.below(10)) for _ in range(more))
+    letters = "".join(letters_like("a")[draw.below(26)] for _ in range(more))
     if kind == "email":
         box, _, domain = value.rpartition("@")
         labels = domain.split(".")
         host = ".".join([Draw(key, "domain", domain, 0).like(".".join(labels[:-1])), labels[-1]])
-        return f"{draw.like(box + longer)}@{host}"
-    if kind == "ip":
-        return ".".join(str(draw.below(254) + 1) for _ in range(4))
+        return f"{draw.like(box)}{letters}@{host}"
+    if kind == "ip":  # four numbers do for four thousand million addresses; then those of the newer kind
+        return ".".join(str(draw.below(254) + 1) for _ in range(4)) if not more else ":".join(f"{draw.below(0xFFFF) + 1:04x}" for _ in range(8))
     if kind == "ipv6":  # groups of zeros stay
-        return ":".join(f"{draw.below(0xFFFF) + 1:04x}" if g != "0000" or longer else g for g in value.split(":"))
+        return ":".join(f"{draw.below(0xFFFF) + 1:04x}" if g != "0000" or more else g for g in value.split(":"))
     if kind == "phone":
         keep = max(0, len(value) - 10)  # of a country code
-        return value[:keep] + draw.like(value[keep:])
+        return value[:keep] + draw.like(value[keep:]) + digits
     if kind == "card":
         keep = 2 if value[0] == "3" else 1  # of an issuer
-        drawn_digits = value[:keep] + draw.like(value[keep:])
-        fits = card_sum(value) % 10 == 0
-        return drawn_digits[:-1] + str(-card_sum(drawn_digits[:-1] + "0") % 10) if fits else drawn_digits
+        body = value[:keep] + draw.like(value[keep:-1]) + digits
+        return body + str(-card_sum(body + "0") % 10)
     if kind == "iban":
-        body = draw.like(value[4:])
+        body = draw.like(value[4:]) + digits
         fits = iban_remainder(value) == 1
         return value[:2] + (f"{98 - iban_remainder(value[:2] + '00' + body):02d}" if fits else draw.like(value[2:4])) + body
     if kind == "access":
-        return value[:4] + draw.like(value[4:])
+        return value[:4] + draw.like(value[4:]) + letters.upper()
     if kind in ("token", "secret") and re.fullmatch(r"[0-9a-fA-F]+", value):
         upper = value.upper() == value and value.lower() != value
-        hexed = "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+        hexed = "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(value) + more))
         return hexed.upper() if upper else hexed
     if kind.startswith("given:"):
         _, script, gender = kind.split(":")
-        names = GIVEN[script, gender]
+        names, ends = GIVEN[script, gender], SYLLABLES[script]
         name = names[draw.below(len(names))].lower()
-        return name if attempt < 2 else name + "-" + names[draw.below(len(names))].lower() + longer
+        return name if attempt < 2 else "-".join([name, names[draw.below(len(names))].lower() + "".join(ends[draw.below(len(ends))] for _ in range(attempt - 2))])
     if kind.startswith("surname:"):
         parts = SYLLABLES[kind.split(":")[1]]
         return "".join(parts[draw.below(len(parts))] for _ in range(3 + max(0, attempt - 3)))
-    return draw.like(value)
+    return draw.like(value) + digits
 
 
 def rendered(kind: str, original: str, spelt: str) -> str:
     """The surrogate in the format of a mention: its separators, its case."""
     if kind in ("card", "ssn", "phone", "iban"):
         signs = iter(spelt)
-        return "".join(next(signs) if c.isalnum() else c for c in original)
+        return "".join([next(signs) if c.isalnum() else c for c in original] + [*signs])
     if kind == "ipv6":
         if "::" in original:
             spelt = ipaddress.IPv6Address(spelt).compressed
@@ -270,31 +312,36 @@ def drawn(table: DataFrame, key: bytes) -> DataFrame:
     return table.select("kind", "value", F.col("attempt").cast("int")).mapInArrow(draw, "kind string, value string, attempt int, surrogate string")
 
 
-def surrogate_table(docs: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
-    """kind, value, attempt, surrogate of each entity: no two of a kind share a surrogate, and none is an entity."""
+def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, attempt, surrogate of each entity: no two of a kind share a surrogate, and none is an entity.
+
+    In each round the least of those that drew a surrogate keeps it, unless it is an entity or was kept before; the
+    others draw again. Rounds after the first are over the losers alone, and go on until there are none.
+    """
     known = through_table(entity_table(docs), "entities")
-    table = through_table(drawn(known.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(most_rounds):
-        shared = table.groupBy("kind", "surrogate").agg(F.min("value").alias("keeper"), F.count(F.lit(1)).alias("n"))
-        real = known.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        losing = shared.join(real, ["kind", "surrogate"], "left").filter("n > 1 or real")
-        losing = through_table(losing, "collisions")
+    real = known.select("kind", F.col("value").alias("surrogate"))
+    kept, losing, attempt = None, known, 0
+    while True:
+        table = through_table(drawn(losing.withColumn("attempt", F.lit(attempt)), key), "surrogates")
+        taken = real if kept is None else real.union(kept.select("kind", "surrogate"))
+        free = table.groupBy("kind", "surrogate").agg(F.min("value").alias("keeper")).join(taken, ["kind", "surrogate"], "left_anti")
+        marked = table.join(free, ["kind", "surrogate"], "left").withColumn("keeps", F.coalesce(F.col("keeper") == F.col("value"), F.lit(False)))
+        marked = through_table(marked.select("kind", "value", "attempt", "surrogate", "keeps"), "drawn")
+        own = marked.filter("keeps").drop("keeps")
+        kept = own if kept is None else kept.union(own)
+        losing, attempt = marked.filter("not keeps").select("kind", "value"), attempt + 1
         if losing.isEmpty():
-            return table
-        marked = table.join(losing.select("kind", "surrogate", "keeper", "real"), ["kind", "surrogate"], "left")
-        loses = F.coalesce(F.col("real") | (F.col("keeper") != F.col("value")), F.col("keeper") != F.col("value"), F.lit(False))
-        marked = through_table(marked.select("kind", "value", "attempt", "surrogate", loses.alias("loses")), "surrogates")
-        redrawn = drawn(marked.filter("loses").withColumn("attempt", F.col("attempt") + 1), key)
-        table = through_table(marked.filter("not loses").drop("loses").select("kind", "value", "attempt", "surrogate").union(redrawn), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
+            return kept
 
 
 def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, broadcast: int = BROADCAST, counts: str | None = None) -> DataFrame:
     """``docs`` with the entities in column text replaced; other columns, and rows without entities, are unchanged.
 
-    counts: a further column of this name has the number of entities replaced. Null text stays null, with none.
+    counts: a further column of this name has the number of entities replaced; a column of ``docs`` of the same name
+    gives way to it. Null text stays null, with none; empty text stays empty, and very long text is read whole. Repeated
+    rows are replaced alike, each in its place; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(counts) if counts else docs
     again = surrogate_table(docs, key).filter("attempt > 0").select("kind", "value", "surrogate")
     own_names, at = docs.columns, docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *([T.StructField(counts, T.IntegerType())] if counts else [])])

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -128,3 +129,88 @@ def test_ipv6_surrogates_are_addresses_in_the_format_of_the_mention():
     short, _, long = new.partition(" and ")
     assert "::" in short and len(long) == 39
     assert ipaddress.IPv6Address(short) == ipaddress.IPv6Address(long) != ipaddress.IPv6Address("2001:db8::1")
+
+
+#: An own, plain finder of what the test documents have, apart from the operator's patterns.
+PLAIN = {
+    "email": re.compile(r"[A-Za-zÀ-ÿ]+\.\d+@mail\d\.example\.com", re.I),
+    "ip": re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.])"),
+    "phone": re.compile(r"\+1 \(\d{3}\) 555-\d{4}"),
+    "token": re.compile(r"(?<=token = \")[0-9a-f]{40}|(?<=TOKEN = \")[0-9A-F]{40}"),
+    "card": re.compile(r"(?<!\d)4\d{15}(?!\d)"),
+}
+
+
+def luhn(digits):
+    doubled = [int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def plain(text):
+    return [(m.start(), kind, m[0]) for kind, p in PLAIN.items() for m in p.finditer(text) if kind != "card" or luhn(m[0])]
+
+
+def test_documents_by_a_plain_finder(spark):
+    docs = {r.doc_id: r.text for r in read(spark, "/root/testdata/sf0.01", "documents").collect()}
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymised(read(spark, "/root/testdata/sf0.01", "documents"), KEY, counts="n").collect()}
+    spelt, real = {}, {(k, v.lower()) for t in docs.values() for _, k, v in plain(t)}
+    altered = 0
+    for i, old in docs.items():
+        mine, (new, n) = plain(old), got[i]
+        altered += not mine and new != old
+        assert n >= len(mine)
+        if not mine:
+            continue
+        # what is between the entities stays, and each is replaced by one of its own shape
+        gaps = re.split("|".join(re.escape(v) for *_, v in sorted(mine, key=lambda e: -len(e[2]))), old)
+        if n == len(mine):
+            at, parts = 0, []
+            for k, g in enumerate(gaps):
+                begin = new.index(g, at) if k < len(gaps) - 1 or g else len(new)
+                parts.append(new[at:begin]) if k else None
+                at = begin + len(g)
+            for (_, kind, value), other in zip(sorted(mine), parts):
+                shape = lambda s: re.sub("[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s)))
+                assert other != value
+                if kind in ("phone", "card"):
+                    assert shape(other) == shape(value)
+                if kind == "card":
+                    assert luhn(other)
+                assert (kind, other.lower()) not in real
+                assert spelt.setdefault((kind, value.lower()), other.lower()) == other.lower()
+    assert len({(k, s) for (k, _), s in spelt.items()}) == len(spelt) > 20
+    assert altered <= 0.005 * len(docs)
+
+
+@pytest.mark.parametrize("text", ["Password: ________", "passwd: *****_", "token = ----------------", "Order 4465758382889438 and 9130000000000002"])
+def test_nothing_to_replace(text):
+    assert pii.replaced(text, KEY, lambda *_: None) == (text, [])
+
+
+def test_blank_forms_and_small_draw_spaces(spark):
+    """Blank forms stay, and kinds with few surrogates to draw from get longer ones, without an end of rounds."""
+    rows = [(0, "Password: ________"), (1, "token = ----------------"), (2, None), (3, "")]
+    rows += [(10 + k, f"password=*****{k}") for k in range(10)]
+    rows += [(100 + k, "Господин " + "".join("АБВГДЕЖЗИК"[int(d)] if j == 0 else "абвгдежзик"[int(d)] for j, d in enumerate(f"{k:03d}")) + " Иванов") for k in range(600)]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, n_entities string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, KEY, counts="n_entities").collect()}
+    assert docs.columns == pii.pseudonymised(docs, KEY, counts="n_entities").columns
+    assert [(got[i].text, got[i].n_entities) for i in range(4)] == [(t, 0) for _, t in rows[:4]]
+    assert len({got[10 + k].text for k in range(10)} - {t for _, t in rows}) == 10
+    assert len({got[100 + k].text for k in range(600)}) == 600
+
+
+def test_one_text_of_many_entities():
+    text = "\n".join(f"n{k}.m@mail.example.org Mr. Na{k} Su{k}" for k in range(100_000))
+    began = time.time()
+    assert len(pii.entities(text)) == 300_000
+    assert time.time() - began < 30
+
+
+def test_letters_keep_their_script():
+    new = pii.surrogate(KEY, "secret", "Ωμέγα-漢字-Жук-Ab1", 0)
+    import unicodedata
+
+    kind = lambda c: unicodedata.name(c).split(" ")[0] if c.isalpha() else c if not c.isdigit() else "9"
+    assert list(map(kind, new)) == list(map(kind, "Ωμέγα-漢字-Жук-Ab1"))
+    assert [c.isupper() for c in new] == [c.isupper() for c in "Ωμέγα-漢字-Жук-Ab1"]
