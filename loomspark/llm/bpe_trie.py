@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import arrow, id_and_text
+from loomspark.llm.common import arrow, id_and_text, sliced
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 NEVER = 1 << 60
@@ -163,9 +163,9 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     def encode(batches):
         _, specials, words, table = loaded(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
-            for a, b in pretoken.blocks(texts, 1 << 20):
+            for a, b in pretoken.blocks(texts):
                 ids, sizes = pretoken.encoded(texts[a:b], words, False, specials, cleaned)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes

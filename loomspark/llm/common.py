@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: as many texts as a worker makes strings of at a time."""
+    for batch in batches:
+        yield from (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 def arrow(df: pd.DataFrame | dict, schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of the given columns in the schema's order."""
     return pa.RecordBatch.from_arrays([pa.array(df[f.name], f.type) for f in schema], schema=schema)

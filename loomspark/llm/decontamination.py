@@ -1,13 +1,14 @@
 """Benchmark decontamination: item-sized windows of documents, by SimHash and then exactly.
 
-Words are runs of letters and digits in lower case. A window has as many words as an item. Only windows that share
-enough of an item's shingles to be as similar as asked for can match, so their positions come from a lookup of each
-document's shingles in those of the benchmark. A window's SimHash then probes an index of the fingerprints of
-items of its size: these are cut into blocks, and two fingerprints within the radius are within radius / blocks
-bits in one block at least, so that the blocks' neighbours give all of them. What is found is verified by the
-weighted Jaccard similarity of the shingles themselves.
-
-The benchmark is held by every task, in blocks of ``BLOCK_BYTES`` of items: a larger one takes more passes.
+Words are runs of letters and digits in lower case. A window has as many words as an item, or all of a document that
+has fewer. Its fingerprint comes from rolling sums of its shingles' bits and probes an index of the fingerprints of
+the items of its size: these are cut into blocks, and two fingerprints within the radius are within radius / blocks
+bits in one block at least, so that the blocks' neighbours give all of them. What the index gives is verified by the
+weighted Jaccard similarity of the shingles themselves. Windows that hold no shingle of any item of their size are
+passed over: their similarity is 0 to all.
+
+The benchmark is held by every task, in blocks of ``BLOCK_BYTES`` of items; a task holds ``HELD_BYTES`` of its texts
+while one block after the other is matched with them, so that documents are read once whatever the benchmark.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import id_and_text
+from loomspark.llm.common import id_and_text, sliced
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: Bits of 64. Fingerprints of windows at the similarity of 0.8 differ in 10 on average, with a deviation of 3.
 RADIUS = 24
-BLOCKS = 8
+BLOCKS = 16
 BLOCK_BYTES = 8 << 20
+HELD_BYTES = 64 << 20
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -68,9 +70,19 @@ class Words:
         return [self.joined[i:j] for i, j in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
 
 
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def simhash(hashes: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0) > len(hashes), bitorder="little").view("<u8")[0])
+    return int(window_fingerprints(hashes, len(hashes))[0])
+
+
+def window_fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of each window of ``size`` hashes, by differences of running sums: bits set in over half of them."""
+    sums = np.zeros((len(hashes) + 1, 64), np.int32)
+    np.cumsum(bits_of(hashes), axis=0, out=sums[1:])
+    return np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -92,17 +104,35 @@ class HammingBlocks:
 
     def __init__(self, fingerprints: list[tuple[int, int]], radius: int):
         self.radius, self.size = radius, 64 // BLOCKS
-        self.fingerprints = dict(fingerprints)
-        self.tables: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for name, f in fingerprints:
-            for k, table in enumerate(self.tables):
-                own = f >> k * self.size & (1 << self.size) - 1
-                for flip in neighbours(self.size, radius // BLOCKS):
-                    table.setdefault(own ^ flip, []).append(name)
+        self.names = np.array([n for n, _ in fingerprints], np.int64)
+        self.fingerprints = np.array([f for _, f in fingerprints], np.uint64)
+        flips = np.array(neighbours(self.size, radius // BLOCKS), np.uint64)
+        self.tables = []
+        for k in range(BLOCKS):  # by value of the block: those whose own block is a neighbour
+            values = (self._block(self.fingerprints, k)[:, None] ^ flips).ravel()
+            order = np.argsort(values, kind="stable")
+            self.tables.append((np.searchsorted(values[order], np.arange((1 << self.size) + 1)), (order // len(flips)).astype(np.int32)))
+
+    def _block(self, f: np.ndarray, k: int) -> np.ndarray:
+        return f >> np.uint64(k * self.size) & np.uint64((1 << self.size) - 1)
+
+    def pairs(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, name) of each pair within the radius, in order of the queries."""
+        found = []
+        step = max(1, (1 << 20) // (len(self.names) * BLOCKS))
+        for a in range(0, len(queries), step):
+            part, met = queries[a : a + step], []
+            for k, (begin, rows) in enumerate(self.tables):
+                value = self._block(part, k).astype(np.int64)
+                many = begin[value + 1] - begin[value]
+                met.append(np.repeat(np.arange(len(part)), many) * len(self.names) + rows[pretoken.ragged(begin[value], many)])
+            query, row = np.divmod(np.unique(np.concatenate(met)), len(self.names))
+            near = np.bitwise_count(part[query] ^ self.fingerprints[row]) <= self.radius
+            found.append((query[near] + a, self.names[row[near]]))
+        return (np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.int64), self.names[:0])
 
     def near(self, f: int) -> list[int]:
-        found = {n for k, table in enumerate(self.tables) for n in table.get(f >> k * self.size & (1 << self.size) - 1, ())}
-        return sorted(n for n in found if (self.fingerprints[n] ^ f).bit_count() <= self.radius)
+        return sorted(self.pairs(np.array([f], np.uint64))[1].tolist())
 
 
 class Benchmark:
@@ -125,58 +155,55 @@ class Benchmark:
                 hashes = every[w][a : b - w + 1]
                 found.setdefault(w, []).extend((h, i) for h in set(hashes.tolist()))
                 by_size.setdefault(b - a, []).append((i, simhash(hashes)))
+        # the shingles of each width, and by shingle the numbers of words of the items that have it
         self.lookup = {}
         for w, pairs in found.items():
-            pairs.sort()
-            self.lookup[w] = np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+            sized = sorted({(h, int(self.n_words[i])) for h, i in pairs})
+            self.lookup[w] = np.array([h for h, _ in sized], np.uint64), np.array([n for _, n in sized], np.int64)
         self.index = {n: HammingBlocks(f, radius) for n, f in by_size.items()}
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word) of the most similar window of each text and item that match."""
         words = Words(texts)
         offsets = np.searchsorted(words.text, np.arange(len(texts) + 1))
-        for width, (keys, items) in self.lookup.items():
+        for width, (keys, sizes) in self.lookup.items():
             shingles = words.shingles(width)
-            begin, end = np.searchsorted(keys, shingles), None
+            begin = np.searchsorted(keys, shingles)
             hit = np.flatnonzero((keys[np.minimum(begin, len(keys) - 1)] == shingles) & (shingles != 0))
             if not len(hit):
                 continue
-            end = np.searchsorted(keys, shingles[hit], side="right")
-            many = end - begin[hit]
+            many = np.searchsorted(keys, shingles[hit], side="right") - begin[hit]
             at = np.repeat(hit, many)
-            item = items[pretoken.ragged(begin[hit], many)]
+            size = sizes[pretoken.ragged(begin[hit], many)]
             text = words.text[at]
-            order = np.lexsort((at, item, text))
-            at, item, text = at[order], item[order], text[order]
-            edges = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1])]))
+            order = np.lexsort((at, size, text))
+            at, size, text = at[order], size[order], text[order]
+            edges = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (text[1:] != text[:-1])]))
+            best: dict[tuple[int, int], tuple[float, int]] = {}
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
-                found = self._best(words, shingles, at[a:b], int(item[a]), width, offsets[text[a]], offsets[text[a] + 1])
-                if found:
-                    yield int(text[a]), int(item[a]), found[0], int(found[1] - offsets[text[a]])
-
-    def _best(self, words: Words, shingles: np.ndarray, places: np.ndarray, item: int, width: int, begin: int, end: int) -> tuple[float, int] | None:
-        """The best window; places: of the text's shingles that the item has."""
-        n = int(self.n_words[item])
-        m = n - width + 1  # shingles in a window, and in the item
-        need = int(np.ceil(2 * m * self.least / (1 + self.least) - 1e-9))  # shared ones, for the similarity
-        if len(places) < need:
-            return None
-        first = places[: len(places) - need + 1]
-        last = places[need - 1 :]
-        dense = np.flatnonzero(last - first < m)
-        best: tuple[float, int] | None = None
-        seen = -1
-        for k in dense.tolist():
-            for start in range(max(int(last[k]) - m + 1, begin, seen + 1), min(int(first[k]), end - n) + 1):
-                seen = start
-                if item not in self.index[n].near(simhash(shingles[start : start + m])):
-                    continue
-                found = similarity(shingle_counts(words.between(start, start + n), width), self.counts[item])
-                if found >= self.least and (best is None or found > best[0]):
-                    best = found, start
-                    if found == 1:
-                        return best
-        return best
+                t = int(text[a])
+                for item, found, start in self._windows(words, shingles, at[a:b], int(size[a]), width, int(offsets[t]), int(offsets[t + 1])):
+                    if found >= self.least and found > best.get((t, item), (0, 0))[0]:
+                        best[t, item] = found, start
+            for (t, item), (found, start) in sorted(best.items()):
+                yield t, item, found, int(start - offsets[t])
+
+    def _windows(self, words: Words, shingles: np.ndarray, places: np.ndarray, size: int, width: int, begin: int, end: int) -> Iterator[tuple[int, float, int]]:
+        """(item, similarity, first word) of the windows of ``size`` words that the index gives. places: of the text's
+        shingles that items of this size have."""
+        n = min(size, end - begin)  # a shorter text is one window
+        m = n - width + 1
+        first = np.maximum(places - m + 1, begin)
+        last = np.minimum(places, end - n)
+        # stretches of windows that hold such a place, joined where they meet
+        new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1] + 1]))
+        for a, b in zip(first[new].tolist(), last[np.append(new[1:], len(last)) - 1].tolist()):
+            query, item = self.index[size].pairs(window_fingerprints(shingles[a : b + m], m))
+            last_query = -1
+            for q, i in zip(query.tolist(), item.tolist()):
+                if q != last_query:
+                    mine, last_query = shingle_counts(words.between(a + q, a + q + n), width), q
+                yield i, similarity(mine, self.counts[i]), a + q
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -189,10 +216,6 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield sorted(((r["item_id"], r["text"]) for r in rows), key=repr)
 
 
-def _batches(texts: list[str]):
-    yield from pretoken.blocks(texts, 1 << 20)
-
-
 _ready: dict[str, Benchmark] = {}
 
 
@@ -209,6 +232,19 @@ def _shared(spark, items: list[tuple[int, str]]):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
 
+def held(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of HELD_BYTES; single batches if there is one block of items."""
+    waiting, total = [], 0
+    for batch in sliced(batches):
+        waiting.append(batch)
+        total += batch.nbytes
+        if blocks == 1 or total > HELD_BYTES:
+            yield waiting
+            waiting, total = [], 0
+    if waiting:
+        yield waiting
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each document and benchmark item that match, with the best window.
 
@@ -216,42 +252,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     of equal or null doc_id each have their own matches. No matches, or empty tables, give no rows.
     """
     rows = id_and_text(docs).select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, item_id long, similarity double, first_word long"
     arrow_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())])
-    found = None
-    for items in item_blocks(benchmark, block_bytes):
-        shared = _shared(docs.sparkSession, items)
+    blocks = [_shared(docs.sparkSession, items) for items in item_blocks(benchmark, block_bytes)]
 
-        def match(batches, shared=shared):
-            block = _benchmark(shared, (width, least, radius))
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in _batches(texts):
-                    rows = [(a + t, block.items[i][0], s, p) for t, i, s, p in block.matches(texts[a:b])]
-                    if rows:
-                        t, i, s, p = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array(i, pa.int64()), pa.array(s), pa.array(p, pa.int64())], schema=arrow_schema)
+    def match(batches):
+        for some in held(batches, len(blocks)):
+            for shared in blocks:
+                block = _benchmark(shared, (width, least, radius))
+                for batch in some:
+                    texts = batch.column(1).to_pylist()
+                    for a, b in pretoken.blocks(texts):
+                        rows = [(a + t, block.items[i][0], s, p) for t, i, s, p in block.matches(texts[a:b])]
+                        if rows:
+                            t, i, s, p = zip(*rows)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array(i, pa.int64()), pa.array(s), pa.array(p, pa.int64())], schema=arrow_schema)
 
-        part = rows.mapInArrow(match, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return rows.mapInArrow(match, "doc_id long, item_id long, similarity double, first_word long")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text matches no benchmark item. No row is moved."""
+    """The rows of ``docs``, all columns unchanged whatever their names, whose text matches no benchmark item. No row
+    is moved. Null and empty texts match nothing and stay, very long ones are read whole, repeated rows share a fate,
+    and an empty table gives no rows."""
     at = docs.columns.index("text")
-    for items in item_blocks(benchmark, block_bytes):
-        shared = _shared(docs.sparkSession, items)
-
-        def keep(batches, shared=shared):
-            block = _benchmark(shared, (width, least, radius))
-            for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                clean = np.ones(len(texts), bool)
-                for a, b in _batches(texts):
-                    for t, *_ in block.matches(texts[a:b]):
-                        clean[a + t] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    blocks = [_shared(docs.sparkSession, items) for items in item_blocks(benchmark, block_bytes)]
+
+    def keep(batches):
+        for some in held(batches, len(blocks)):
+            clean = [np.ones(batch.num_rows, bool) for batch in some]
+            for shared in blocks:
+                block = _benchmark(shared, (width, least, radius))
+                for batch, mine in zip(some, clean):
+                    texts = [t or "" for t in batch.column(at).to_pylist()]
+                    for a, b in pretoken.blocks(texts):
+                        for t, *_ in block.matches(texts[a:b]):
+                            mine[a + t] = False
+            yield from (batch.filter(pa.array(mine)) for batch, mine in zip(some, clean))
+
+    return docs.mapInArrow(keep, docs.schema)

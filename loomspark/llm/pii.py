@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import through_table
+from loomspark.llm.common import sliced, through_table
 
 #: Entities that drew again, up to which they are broadcast; beyond, they are joined to the documents that have them.
 BROADCAST = 200_000
@@ -294,7 +294,7 @@ def entity_table(docs: DataFrame) -> DataFrame:
     """kind, value: the distinct entities of the corpus."""
 
     def distinct(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = sorted({(kind, value) for t in batch.column(0).to_pylist() if t for *_, kind, value in entities(t)})
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], schema=ENTITY)
 
@@ -361,13 +361,13 @@ def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, broadcast: int = BR
         shared = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["surrogate"] for r in again.collect()})
 
         def replace(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 yield changed(batch, iter([shared.value] * batch.num_rows))
 
         return docs.mapInArrow(replace, schema)
 
     def mentions(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = sorted({(d, *e[2:]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) if t for e in entities(t)})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))], ["digest", "kind", "value"])
 
@@ -377,7 +377,7 @@ def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, broadcast: int = BR
     whole = docs.select(F.struct("*").alias("row"), digest.alias("digest")).join(own, "digest", "left").select("row.*", F.col("redrawn"))
 
     def replace_with(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             lookups = ({(x["kind"], x["value"]): x["surrogate"] for x in r or ()} for r in batch.column(len(own_names)).to_pylist())
             yield changed(batch, lookups)
 

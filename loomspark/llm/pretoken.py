@@ -145,7 +145,7 @@ def split(texts: list[str], joins_space: bool) -> Pieces:
     return Pieces(owner, code, distinct, joined, np.stack([starts[first], ends[first]], 1))
 
 
-def blocks(texts: list[str], most: int = 1 << 21):
+def blocks(texts: list[str], most: int = 1 << 18):
     """(from, to) of runs of texts with about ``most`` characters; a longer text is a run of its own."""
     begin = total = 0
     for i, t in enumerate(texts):

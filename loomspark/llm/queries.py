@@ -82,17 +82,17 @@ removed AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(rest, b)) AS kept_sha256 FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-#: Every window of an item's size that shares a shingle with it, by weighted Jaccard similarity.
+#: Every window of an item's size, or of all of a shorter text, that shares a shingle with it, by weighted Jaccard similarity.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 items AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS width FROM i WHERE len(w) > 0),
 item_shingles AS (SELECT item_id, n, width, n - width + 1 AS m, array_to_string(w[k:k + width - 1], ' ') AS shingle, count(*) AS times FROM (SELECT *, unnest(range(1, n - width + 2)) AS k FROM items) GROUP BY ALL),
 doc_shingles AS (SELECT doc_id, len(w) AS n_words, width, k, array_to_string(w[k:k + width - 1], ' ') AS shingle FROM (SELECT d.doc_id, d.w, v.width, unnest(range(1, len(d.w) - v.width + 2)) AS k FROM d, (SELECT DISTINCT width FROM items) v)),
-shared AS (SELECT doc_id, item_id, k, shingle, times, m, n, n_words FROM doc_shingles JOIN item_shingles USING (width, shingle)),
-windows AS (SELECT *, unnest(range(greatest(1, k - m + 1), least(k, n_words - n + 1) + 1)) AS first FROM shared),
-met AS (SELECT doc_id, item_id, first, m, shingle, least(count(*), any_value(times)) AS c FROM windows GROUP BY doc_id, item_id, first, m, shingle),
-scored AS (SELECT doc_id, item_id, first, sum(c) / (2 * m - sum(c)) AS similarity FROM met GROUP BY doc_id, item_id, first, m)
+shared AS (SELECT doc_id, item_id, k, shingle, times, m, n, n_words, width FROM doc_shingles JOIN item_shingles USING (width, shingle)),
+windows AS (SELECT *, unnest(range(greatest(1, k - m + 1), greatest(1, least(k, n_words - n + 1)) + 1)) AS first, least(m, n_words - width + 1) AS own FROM shared),
+met AS (SELECT doc_id, item_id, first, m, own, shingle, least(count(*), any_value(times)) AS c FROM windows GROUP BY doc_id, item_id, first, m, own, shingle),
+scored AS (SELECT doc_id, item_id, first, sum(c) / (m + own - sum(c)) AS similarity FROM met GROUP BY doc_id, item_id, first, m, own)
 SELECT doc_id, item_id, similarity, first - 1 AS first_word FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
 """

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import arrow, id_and_text, through_table
+from loomspark.llm.common import arrow, id_and_text, sliced, through_table
 from loomspark.llm.components import connected_components
 
 RADIUS = 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, digest (a hash of the text), fp (the 64 bits as a signed long) of each row."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, hashes, sizes, begin = batch.column(0), [], [], 0
             texts = batch.column(1).to_pylist()
             for k, text in enumerate(texts):

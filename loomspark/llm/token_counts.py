@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import arrow, id_and_text, through_table
+from loomspark.llm.common import arrow, id_and_text, sliced, through_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Entries of the broadcast part of the vocabulary at most: 12 bytes each.
@@ -51,7 +51,7 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
 
     def distinct(batches):
         specials = loaded(path)[1]
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(0).to_pylist()
             for a, b in pretoken.blocks(texts):
                 found = pretoken.split(pretoken.cut_specials(texts[a:b], specials)[0], True)
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = 512, head:
     def parts(batches):
         keys, pieces = shared.value
         specials = loaded(path)[1]
-        for batch in batches:
+        for batch in sliced(batches):
             ids, all_texts = batch.column(0), batch.column(1).to_pylist()
             digests = batch.column(2)
             for a, b in pretoken.blocks(all_texts):

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loomspark.llm import decontamination as dc
@@ -11,7 +12,7 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def expected(docs, items):
-    """The most similar window of each document and item, over all windows."""
+    """The most similar window of each document and item, over all windows; a shorter document is one."""
     out = {}
     for i, item in items:
         a = WORD.findall((item or "").lower())
@@ -23,7 +24,7 @@ def expected(docs, items):
             b = WORD.findall((text or "").lower())
             if not any(s in counts for s in zip(*(b[j:] for j in range(w)))):
                 continue
-            best = max((dc.similarity(dc.shingle_counts(b[s : s + len(a)], w), counts) for s in range(len(b) - len(a) + 1)), default=0)
+            best = max((dc.similarity(dc.shingle_counts(b[s : s + len(a)], w), counts) for s in range(max(1, len(b) - len(a) + 1))), default=0)
             if best >= 0.8:
                 out[k, i] = (d, i, round(best, 9))
     return sorted(out.values(), key=repr)
@@ -82,3 +83,27 @@ def test_blocks_find_all_within_the_radius():
         for _ in range(r.randint(0, 30)):
             q ^= 1 << r.randrange(64)
         assert index.near(q) == [i for i, f in fps if (f ^ q).bit_count() <= 24]
+
+
+def test_documents_shorter_than_an_item(spark):
+    words = [f"w{k}" for k in range(30)]
+    docs = [(1, " ".join(words[:28])), (2, " ".join(words[:20])), (3, " ".join(words[:4])), (4, " ".join(words[1:29] + ["x"] * 4))]
+    items = [(7, " ".join(words))]
+    found = got(dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert found == expected(docs, items) and [d for d, *_ in found] == [1, 4]
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_rolling_fingerprints(size):
+    hashes = np.random.default_rng(size).integers(0, 1 << 63, 90, np.uint64) * np.uint64(2) + np.uint64(1)
+    one = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[k : k + size]) > size) for k in range(len(hashes) - size + 1)]
+    assert dc.window_fingerprints(hashes, size).tolist() == one
+
+
+def test_candidates_come_from_the_index(spark, monkeypatch):
+    """An index that gives nothing leaves no match; texts without their own windows find what the index gives."""
+    docs = [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]
+    items = [tuple(r) for r in read(spark, "/root/testdata/sf0.01", "benchmark").collect()]
+    assert list(dc.Benchmark(items).matches(docs))
+    monkeypatch.setattr(dc.HammingBlocks, "pairs", lambda self, f: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not list(dc.Benchmark(items).matches(docs))
