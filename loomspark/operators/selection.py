@@ -95,21 +95,27 @@ def ensemble(df: DataFrame, signals: Sequence[str], strengths: DataFrame, out: s
     return df.join(sums, panel.keys, "left")
 
 
-def capped_weights(weights: np.ndarray, most: float, rounds: int = 50) -> np.ndarray:
-    """Positive weights that sum to one with none above ``most``, what is cut being shared among the others."""
-    w = np.clip(weights, 0, None)
-    w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / max(1, len(w)))
-    for _ in range(rounds):
-        over = w > most + 1e-12
-        if not over.any() or most * len(w) < 1:
-            break
-        spare = (w[over] - most).sum()
-        w[over] = most
-        under = ~over & (w < most - 1e-12)
-        if not under.any():
-            break
-        w[under] += spare * w[under] / w[under].sum()
-    return w
+def capped_weights(weights: np.ndarray, most: float) -> np.ndarray:
+    """Shares of the weights' sum with none above ``most``: what the largest lose goes to the others in proportion.
+
+    The fewest largest are cut for which the others, scaled up, stay below; weights of zero share alike what is left
+    for them alone. A cap that cannot hold for so few gives equal weights, and one outside of 0 to 1 is none. Missing
+    or negative weights are zero; without a positive one all are missing.
+    """
+    w = np.clip(np.nan_to_num(np.asarray(weights, float)), 0, None)
+    if w.sum() <= 0:
+        return np.full(len(w), np.nan)
+    if not 0 < most < 1:
+        return w / w.sum()
+    order = np.argsort(-w, kind="stable")
+    for cut in range(len(w)):
+        rest, left = w[order[cut:]], 1 - cut * most
+        scaled = left * rest / rest.sum() if rest.sum() > 0 else np.full(len(rest), left / len(rest))
+        if scaled.max() <= most + 1e-12:
+            out = np.full(len(w), most)
+            out[order[cut:]] = scaled
+            return out
+    return np.full(len(w), 1 / len(w))
 
 
 def softmax_weights(df: DataFrame, score: str, k: int, most: float, temperature: float = 1.0, out: str = "weight", panel: Panel = PANEL) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Features along each entity's history. Windows count rows; those over the calendar use the dense grid."""
+"""Features along each entity's history. Windows count rows; those over the calendar are frames of date positions."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomspark.functions import recipes as R
-from loomspark.operators.panel import PANEL, Panel, calendar, dense_grid
+from loomspark.operators.panel import PANEL, Panel, calendar
 
 
 def roll(df: DataFrame, column: str, n: int, operation: str, least: int, out: str, shift: int = 0, panel: Panel = PANEL) -> DataFrame:
@@ -65,14 +65,18 @@ def market_return(df: DataFrame, returns: str, out: str = "market_return", panel
 
 def rolling_slope(df: DataFrame, y: str, x: str, n: int, least: int, out: str, on_calendar: bool = False, panel: Panel = PANEL) -> DataFrame:
     """The least-squares slope of y on x over the last n rows, or n dates of the calendar, with enough pairs."""
-    source = dense_grid(df, [y, x], panel) if on_calendar else df
+    source, w = on_positions(df, n, panel) if on_calendar else (df, panel.last(n))
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    w = panel.last(n)
     slope = F.when((F.count(b).over(w) >= least) & (F.var_pop(a).over(w) > 1e-18), F.regr_slope(b, a).over(w))
-    if not on_calendar:
-        return df.withColumn(out, slope)
-    return df.join(source.withColumn(out, slope).select(*panel.keys, out), panel.keys, "left")
+    return source.withColumn(out, slope).select(*df.columns, out)
+
+
+def on_positions(df: DataFrame, n: int, panel: Panel = PANEL) -> tuple[DataFrame, WindowSpec]:
+    """The rows with their date's position in the calendar, and the window of each entity's rows in the last n dates:
+    dates without a row add nothing, so that none has to be made."""
+    placed = df.join(F.broadcast(calendar(df, panel)), panel.date)  # as many rows as dates
+    return placed, Window.partitionBy(panel.entity).orderBy("position").rangeBetween(1 - n, 0)
 
 
 def residual_volatility(df: DataFrame, y: str, x: str, n: int, least: int, out: str, panel: Panel = PANEL) -> DataFrame:
@@ -162,11 +166,10 @@ def rolling_cusum(df: DataFrame, value: str, n: int, threshold: float, panel: Pa
 
 def downside_rms(df: DataFrame, returns: str, n: int, out: str, panel: Panel = PANEL) -> DataFrame:
     """The downside root mean square over exactly n dates of the calendar, NULL if one is missing."""
-    w = panel.last(n)
-    grid = dense_grid(df, [returns], panel).withColumn("_q", F.pow(F.least(F.col(returns), F.lit(0.0)), F.lit(2.0)))
-    grid = grid.withColumn("_q", F.when(F.col(returns).isNotNull(), F.col("_q")))
-    value = F.when(F.count("_q").over(w) == n, F.sqrt(F.avg("_q").over(w)))
-    return df.join(grid.withColumn(out, value).select(*panel.keys, out), panel.keys, "left")
+    source, w = on_positions(df, n, panel)
+    square = F.when(F.col(returns).isNotNull(), F.pow(F.least(F.col(returns), F.lit(0.0)), F.lit(2.0)))
+    value = F.when(F.count(square).over(w) == n, F.sqrt(F.avg(square).over(w)))
+    return source.withColumn(out, value).select(*df.columns, out)
 
 
 def _per_entity(df: DataFrame, column: str, out: str, compute, panel: Panel) -> DataFrame:
@@ -336,28 +339,33 @@ def sup_adf(df: DataFrame, column: str, least_window: int, lags: int = 1, block:
     return found.withColumn("sadf", F.nanvl("sadf", F.lit(None).cast("double")))
 
 
-def symmetric_cusum(df: DataFrame, column: str, threshold: float, drift: float = 0.0, panel: Panel = PANEL) -> DataFrame:
-    """entity, date, direction, statistic: where a two-sided sum of changes passes the threshold and starts again."""
+def symmetric_cusum(df: DataFrame, column: str, threshold: float | str, drift: float = 0.0, panel: Panel = PANEL) -> DataFrame:
+    """entity, date, direction, statistic: where a sum of the column's values, upwards or downwards, passes the limit.
+
+    threshold: a number, or the column of each row's limit. The sum that passes starts again and the other goes on; if
+    both pass, the upward one does. Rows without a value or a limit are passed over.
+    """
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
 
     def compute(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(panel.date)
         up = down = 0.0
         found = []
-        for date, change in zip(group[panel.date].iloc[1:], np.diff(group[column].to_numpy(float))):
-            if math.isnan(change):
+        for date, value, most in zip(group[panel.date], group[column].to_numpy(float), group["_limit"].to_numpy(float)):
+            if not math.isfinite(value) or not math.isfinite(most):
                 continue
-            up, down = max(0.0, up + change - drift), min(0.0, down + change + drift)
-            if up >= threshold:
+            up, down = max(0.0, up + value - drift), min(0.0, down + value + drift)
+            if up > most:
                 found.append((date, 1, up))
-                up = down = 0.0
-            elif -down >= threshold:
+                up = 0.0
+            elif -down > most:
                 found.append((date, -1, down))
-                up = down = 0.0
+                down = 0.0
         return pd.DataFrame({panel.entity: group[panel.entity].iloc[0], panel.date: [f[0] for f in found], "direction": [f[1] for f in found], "statistic": [f[2] for f in found]})
 
     types = {c: df.schema[c].dataType.simpleString() for c in (panel.entity, panel.date)}
     schema = f"{panel.entity} {types[panel.entity]}, {panel.date} {types[panel.date]}, direction int, statistic double"
-    return df.select(panel.entity, panel.date, column).groupBy(panel.entity).applyInPandas(compute, schema)
+    return df.select(panel.entity, panel.date, column, limit.alias("_limit")).groupBy(panel.entity).applyInPandas(compute, schema)
 
 
 def recursive_residuals(df: DataFrame, y: str, x: str, least: int = 20, panel: Panel = PANEL) -> DataFrame:

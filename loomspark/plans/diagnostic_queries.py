@@ -9,7 +9,7 @@ from loomspark.operators import diagnostics as dg
 from loomspark.operators import inference as inf
 from loomspark.operators import models, splits, weights
 from loomspark.operators import panel as pn
-from loomspark.plans.registry import PANEL_SQL, SQL, avg_rank_sql, corr_sql, panel, query, r6, rounded, table
+from loomspark.plans.registry import PANEL_SQL, avg_rank_sql, corr_sql, panel, query, r6, rounded, table
 
 FWD = f"""{PANEL_SQL}, f AS (SELECT *, CASE WHEN n_lines % 4 <> 3 THEN lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / close - 1 END AS fwd FROM panel)"""
 
@@ -148,15 +148,9 @@ def sample_weights(spark, d):
     return rounded(df, "symbol", "trade_date", "decay_weight", "equal_weight")
 
 
-@query(f"""WITH {PANEL_SQL}, n AS (SELECT symbol AS grp, trade_date AS bar, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, lead(trade_date, 8) OVER (PARTITION BY symbol ORDER BY trade_date) AS fin FROM panel), e AS (SELECT grp, bar AS a, fin AS b FROM n WHERE n % 3 = 0 AND fin IS NOT NULL),
+@query(f"""WITH {PANEL_SQL}, n AS (SELECT symbol AS grp, trade_date AS bar, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, lead(trade_date, 8) OVER (PARTITION BY symbol ORDER BY trade_date) AS fin FROM panel), e AS (SELECT grp, bar AS a, fin AS b FROM n WHERE fin IS NOT NULL),
 c AS (SELECT n.grp, n.bar, count(e.a) AS k FROM n LEFT JOIN e ON e.grp = n.grp AND n.bar BETWEEN a AND b GROUP BY 1, 2) SELECT e.grp, e.a AS label_start, e.b AS label_end, count(*) AS n_bars, {r6('avg(1.0 / k)', 'uniqueness')} FROM e JOIN c ON c.grp = e.grp AND c.bar BETWEEN a AND b GROUP BY 1, 2, 3""")
 def label_uniqueness(spark, d):
-    return _label_uniqueness(spark, d, "n % 3 = 0 and label_end is not null")
-
-
-@query(SQL["label_uniqueness"].replace("n % 3 = 0 AND ", ""))
-def label_uniqueness_all(spark, d):
-    """The uniqueness of the labels of all rows that have a whole window."""
     return _label_uniqueness(spark, d, "label_end is not null")
 
 

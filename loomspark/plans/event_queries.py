@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import recipes as R
 from loomspark.operators import intraday, joins, labels
 from loomspark.operators import panel as pn
-from loomspark.plans.registry import PANEL_SQL, SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
+from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
 
 D = pn.PANEL
 
@@ -109,15 +109,9 @@ def trailing_calendar_stats(spark, d):
     return rounded(joins.trailing_calendar_stat(df, "value", 36, "std0", 3, "std_36"), "symbol", "trade_date", "median_36", "std_36", digits=2)
 
 
-@query(f"""WITH {REPORTS_SQL}, g AS (SELECT symbol, period AS trade_date, value FROM reports WHERE n % 5 <> 0), a AS (SELECT *, CAST(trade_date - INTERVAL 26 MONTH AS DATE) AS ask FROM g)
-SELECT a.symbol, a.trade_date, {r6('CASE WHEN a.value > 0 AND b.value > 0 THEN power(a.value / b.value, 365.25 / (a.trade_date - b.trade_date)) - 1 END', 'growth')} FROM a ASOF LEFT JOIN g b ON a.symbol = b.symbol AND a.ask >= b.trade_date""")
+@query(f"""WITH {REPORTS_SQL}, g AS (SELECT symbol, period AS trade_date, CASE WHEN n % 5 <> 0 THEN value END AS value FROM reports), a AS (SELECT *, CAST(trade_date - INTERVAL 26 MONTH AS DATE) AS ask FROM g)
+SELECT a.symbol, a.trade_date, {r6('CASE WHEN a.value > 0 AND b.value > 0 THEN power(a.value / b.value, 365.25 / (a.trade_date - b.trade_date)) - 1 END', 'growth')} FROM a ASOF LEFT JOIN (SELECT * FROM g WHERE value IS NOT NULL) b ON a.symbol = b.symbol AND a.ask >= b.trade_date""")
 def calendar_growth(spark, d):
-    return _calendar_growth(reports(spark, d).filter("n % 5 <> 0"))
-
-
-@query(SQL["calendar_growth"].replace("value FROM reports WHERE n % 5 <> 0", "CASE WHEN n % 5 <> 0 THEN value END AS value FROM reports").replace("ASOF LEFT JOIN g b", "ASOF LEFT JOIN (SELECT * FROM g WHERE value IS NOT NULL) b"))
-def calendar_growth_all(spark, d):
-    """The growth of all reports; gaps are missing values."""
     return _calendar_growth(reports(spark, d).withColumn("value", F.expr("CASE WHEN n % 5 <> 0 THEN value END")))
 
 
@@ -160,7 +154,7 @@ def minute_day_measures(spark, d):
     return rounded(intraday.day_measures(day_bars(spark, d)), "symbol", "trade_date", *names)
 
 
-@query(f"""WITH {BARS_SQL}, b AS (SELECT *, close + 0.25 AS open FROM bars WHERE symbol < 60),
+@query(f"""WITH {BARS_SQL}, b AS (SELECT *, close + 0.25 AS open FROM bars),
 dg AS (SELECT symbol, trade_date, count(*) AS n_rows, count(DISTINCT bar_index) AS n_bars, count(bar_index) - count(DISTINCT bar_index) AS n_duplicates FROM b GROUP BY ALL),
 one AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, bar_index ORDER BY open, close, volume) = 1),
 x AS (SELECT *, lag(bar_index) OVER w = bar_index - 1 AS near, lag(close) OVER w AS pc, lag(volume) OVER w AS pv, row_number() OVER w AS k FROM one WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY bar_index)),
@@ -171,12 +165,6 @@ v AS (SELECT symbol, trade_date, stddev_pop(volume) / avg(volume) AS cv, avg(jum
 SELECT symbol, trade_date, n_rows, n_bars, n_duplicates, {r6('CASE WHEN n_duplicates = 0 THEN cv END', 'volume_cv')}, {r6('CASE WHEN n_duplicates = 0 THEN vd END', 'volume_diff')}, {r6('CASE WHEN n_duplicates = 0 THEN rv END', 'rv')},
   {r6('CASE WHEN n_duplicates = 0 THEN bp END', 'bipower')}, CASE WHEN n_duplicates = 0 THEN CAST(p1 AS BIGINT) END AS peaks_1, {r6('CASE WHEN n_duplicates = 0 THEN rd / nullif(rv, 0) END', 'downside_share')}, {r6('CASE WHEN n_duplicates = 0 AND bp IS NOT NULL THEN greatest(rv - bp, 0) / nullif(rv, 0) WHEN n_duplicates = 0 AND rv IS NOT NULL THEN 0 / nullif(rv, 0) END', 'jump_share')}, {r6('n_bars / 24', 'coverage')} FROM dg JOIN v USING (symbol, trade_date)""")
 def minute_peak_measures(spark, d):
-    return _minute_peak_measures(bars(spark, d).filter("symbol < 60"))
-
-
-@query(SQL["minute_peak_measures"].replace(" WHERE symbol < 60", ""))
-def minute_peak_measures_all(spark, d):
-    """The measures of all users' days."""
     return _minute_peak_measures(bars(spark, d))
 
 
@@ -225,18 +213,11 @@ def next_open_label(spark, d):
 
 
 @query(f"""WITH {PANEL_SQL}, n AS (SELECT symbol, trade_date, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, volume FROM panel),
-e AS (SELECT symbol * 100000 + n AS event_id, symbol, trade_date, close AS entry, n, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END AS side FROM n WHERE n % 20 = 0),
+e AS (SELECT symbol * 100000 + n AS event_id, symbol, trade_date, close AS entry, n, CASE WHEN volume % 2 = 0 THEN 1 ELSE -1 END AS side FROM n),
 m AS (SELECT e.*, q.n - e.n AS k, q.trade_date AS d, (q.close / entry - 1) * side AS r FROM e JOIN n q ON q.symbol = e.symbol AND q.n > e.n AND q.n <= e.n + 5),
 t AS (SELECT *, CASE WHEN r >= 0.5 THEN 'profit_taking' WHEN r <= -0.4 THEN 'stop_loss' WHEN k = 5 THEN 'vertical' END AS barrier FROM m)
 SELECT event_id, symbol, trade_date, barrier, d AS touched, {r6('r', 'side_return')}, CAST(CASE barrier WHEN 'profit_taking' THEN 1 WHEN 'stop_loss' THEN -1 ELSE sign(r) END AS BIGINT) AS label, CAST(r > 0 AS BIGINT) AS meta_label FROM t WHERE barrier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY k) = 1""")
 def triple_barrier(spark, d):
-    n = panel(spark, d).withColumn("n", F.row_number().over(D.history()))
-    return _triple_barrier(n, n.filter("n % 20 = 0"))
-
-
-@query(SQL["triple_barrier"].replace(" WHERE n % 20 = 0", ""))
-def triple_barrier_all(spark, d):
-    """The labels of all rows of the panel, whose windows overlap."""
     n = panel(spark, d).withColumn("n", F.row_number().over(D.history()))
     return _triple_barrier(n, n)
 
@@ -247,17 +228,10 @@ def _triple_barrier(n, starts):
     return rounded(found, "event_id", "symbol", "trade_date", "barrier", "touched", "side_return", "label", "meta_label")
 
 
-@query(f"""WITH {REPORTS_SQL}, c AS (SELECT symbol, period, available, sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) AS ytd FROM reports WHERE n % 9 <> 0),
+@query(f"""WITH {REPORTS_SQL}, c AS (SELECT symbol, period, available, CASE WHEN n % 9 <> 0 THEN sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) END AS ytd FROM reports),
 q AS (SELECT *, CASE WHEN quarter(period) = 1 THEN ytd WHEN quarter(lag(period) OVER w) = quarter(period) - 1 THEN ytd - lag(ytd) OVER w END AS ytd_q FROM c WINDOW w AS (PARTITION BY symbol, year(period) ORDER BY period))
 SELECT symbol, period, {r6('ytd', 'ytd', 2)}, {r6('ytd_q', 'ytd_q', 2)} FROM q""")
 def quarterly_flows(spark, d):
-    r = reports(spark, d).filter("n % 9 <> 0").withColumn("ytd", F.sum("value").over(R.by("symbol", F.year("period")).orderBy("period")))
-    return _quarterly_flows(r)
-
-
-@query(SQL["quarterly_flows"].replace("sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) AS ytd FROM reports WHERE n % 9 <> 0", "CASE WHEN n % 9 <> 0 THEN sum(value) OVER (PARTITION BY symbol, year(period) ORDER BY period) END AS ytd FROM reports"))
-def quarterly_flows_all(spark, d):
-    """The flows of all reports; gaps are missing values."""
     ytd = F.sum("value").over(R.by("symbol", F.year("period")).orderBy("period"))
     return _quarterly_flows(reports(spark, d).withColumn("ytd", F.when(F.col("n") % 9 != 0, ytd)))
 

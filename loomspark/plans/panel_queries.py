@@ -254,7 +254,6 @@ for _name, _f in {
     "fractional_difference": lambda df: ts.fractional_difference(df, "close", 0.4, 1e-3),
     "stationarity": lambda df: ts.stationarity(df, "close"),
     "sup_adf": lambda df: ts.sup_adf(df, "close", 40),
-    "symmetric_cusum": lambda df: ts.symmetric_cusum(df, "close", 500.0, 5.0),
 }.items():
 
     def _run(spark, d, f=_f):
@@ -262,3 +261,13 @@ for _name, _f in {
 
     _run.__name__ = _name
     query(None)(_run)
+
+
+@query(f"""WITH RECURSIVE {PANEL_SQL}, p AS MATERIALIZED (SELECT symbol, trade_date, close - lag(close) OVER w AS x, row_number() OVER w AS n FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+s AS (SELECT symbol, trade_date, n, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, 0 AS direction, CAST(0 AS DOUBLE) AS statistic FROM p WHERE n = 1
+  UNION ALL SELECT symbol, trade_date, n, CASE WHEN u > 500 THEN 0 ELSE u END, CASE WHEN u <= 500 AND d < -500 THEN 0 ELSE d END, CASE WHEN u > 500 THEN 1 WHEN d < -500 THEN -1 ELSE 0 END, CASE WHEN u > 500 THEN u ELSE d END
+  FROM (SELECT p.symbol, p.trade_date, p.n, greatest(0, s.up + p.x - 5) AS u, least(0, s.down + p.x + 5) AS d FROM s JOIN p ON p.symbol = s.symbol AND p.n = s.n + 1))
+SELECT symbol, trade_date, direction, {r6('statistic')} FROM s WHERE direction <> 0""")
+def symmetric_cusum(spark, d):
+    moves = panel(spark, d).withColumn("x", F.col("close") - F.lag("close").over(pn.PANEL.history()))
+    return rounded(ts.symmetric_cusum(moves, "x", 500.0, 5.0), "symbol", "trade_date", "direction", "statistic")

@@ -8,7 +8,7 @@ from loomspark.operators import cross_section as cs
 from loomspark.operators import diagnostics as dg
 from loomspark.operators import selection as sel
 from loomspark.plans.diagnostic_queries import FWD, LONG, forward, ranked_sql
-from loomspark.plans.registry import PANEL_SQL, SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
+from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, pct_sql, query, r6, rounded, table
 
 
 @query(f"""WITH {PANEL_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY close DESC, symbol) AS base_rank, count(*) OVER (PARTITION BY trade_date) AS n FROM panel),
@@ -59,19 +59,18 @@ def signal_ensemble(spark, d):
     return rounded(sel.ensemble(df, ["pb", "volume"], ways.withColumn("strength", F.col("direction").cast("double"))), "symbol", "trade_date", "ensemble")
 
 
-@query(None)
+@query(f"""WITH {PANEL_SQL}, b AS (SELECT symbol, trade_date, close, row_number() OVER (PARTITION BY trade_date ORDER BY close DESC, symbol) AS r FROM panel WHERE close IS NOT NULL QUALIFY r <= 6),
+z AS (SELECT *, exp(CASE WHEN stddev_pop(close) OVER d > 0 THEN (close - avg(close) OVER d) / stddev_pop(close) OVER d ELSE 0 END) AS w, count(*) OVER d AS n FROM b WINDOW d AS (PARTITION BY trade_date)),
+s AS (SELECT *, (1 - 0.3 * (r - 1)) / sum(w) OVER (PARTITION BY trade_date ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM z),
+k AS (SELECT *, min(CASE WHEN w * scale <= 0.3 + 1e-12 THEN r END) OVER (PARTITION BY trade_date) AS uncut FROM s),
+v AS (SELECT *, CASE WHEN uncut IS NULL THEN 1.0 / n WHEN r < uncut THEN 0.3 ELSE w * max(CASE WHEN r = uncut THEN scale END) OVER (PARTITION BY trade_date) END AS weight FROM k)
+SELECT symbol, trade_date, {r6('weight')} FROM v""")
 def softmax_weights(spark, d):
     return rounded(sel.softmax_weights(panel(spark, d), "close", 6, 0.3), "symbol", "trade_date", "weight")
 
 
-@query("""WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS base, CASE WHEN user_id % 3 = 0 THEN list(event_type ORDER BY event_id DESC) END AS own FROM events WHERE event_id < 500 GROUP BY user_id) SELECT user_id, CAST(unnest(generate_series(1, len(coalesce(own, base)))) AS BIGINT) AS place, unnest(coalesce(own, base)) AS choice FROM s""")
+@query("""WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS base, CASE WHEN user_id % 3 = 0 THEN list(event_type ORDER BY event_id DESC) END AS own FROM events GROUP BY user_id) SELECT user_id, CAST(unnest(generate_series(1, len(coalesce(own, base)))) AS BIGINT) AS place, unnest(coalesce(own, base)) AS choice FROM s""")
 def exploded_rankings(spark, d):
-    return _exploded_rankings(table(spark, d, "events").filter("event_id < 500"))
-
-
-@query(SQL["exploded_rankings"].replace(" WHERE event_id < 500", ""))
-def exploded_rankings_all(spark, d):
-    """The rankings of all users, from all of their events."""
     return _exploded_rankings(table(spark, d, "events"))
 
 

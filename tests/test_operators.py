@@ -96,8 +96,13 @@ def test_stationarity():
 
 
 def test_cusum_starts_again(spark):
-    df = spark.createDataFrame([(1, d, float(v)) for d, v in zip(DAYS, [0, 1, 2, 3, 2, 1, 0, -1])], "symbol long, trade_date date, v double")
-    assert [(r.trade_date, r.direction) for r in ts.symmetric_cusum(df, "v", 2.0).collect()] == [(DAYS[2], 1), (DAYS[5], -1), (DAYS[7], -1)]
+    """The sum that passes starts again, strictly beyond the limit; the other goes on; limits may vary."""
+    values, limits = [1.0, 1.0, 1.0, -1.0, None, -1.0, -0.5, 3.0], [1.5, 1.5, 1.5, 1.5, 1.5, 2.0, 2.0, None]
+    df = spark.createDataFrame([(1, d, v, m) for d, v, m in zip(DAYS, values, limits)], "symbol long, trade_date date, v double, m double")
+    found = lambda limit: [(r.trade_date, r.direction, r.statistic) for r in ts.symmetric_cusum(df, "v", limit).collect()]
+    assert found(1.5) == [(DAYS[1], 1, 2.0), (DAYS[5], -1, -2.0), (DAYS[7], 1, 3.0)]
+    assert found("m") == [(DAYS[1], 1, 2.0), (DAYS[6], -1, -2.5)]
+    assert found(2.0) == [(DAYS[2], 1, 3.0), (DAYS[6], -1, -2.5), (DAYS[7], 1, 3.0)]
 
 
 def test_neutralising_by_several_controls(walk):
@@ -143,6 +148,11 @@ def test_capped_weights():
     assert math.isclose(w.sum(), 1) and w.max() <= 0.4 + 1e-9
 
 
+@pytest.mark.parametrize("weights, most, want", [([5, 1, 1], 0.2, [1 / 3] * 3), ([5, 1, 0], 0.4, [0.4, 0.4, 0.2]), ([1, 0], 0.4, [0.5, 0.5]), ([3, 1], 1.5, [0.75, 0.25]), ([0, -1], 0.4, [np.nan] * 2), ([6, 3, 1], 0.5, [0.5, 0.375, 0.125])])
+def test_caps_that_few_can_hold(weights, most, want):
+    assert np.allclose(selection.capped_weights(np.array(weights, float), most), want, equal_nan=True)
+
+
 def test_inference():
     x = [0.1, -0.2, 0.3, 0.05, -0.1]
     found = inf.newey_west(x, lag=0)
