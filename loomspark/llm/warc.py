@@ -32,6 +32,9 @@ TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: What a field of a line may be; any other has no blanks.
+KINDS = {"url": ".*", "date": r"\d+", "type": ".*", "length": r"\d+"}
+LINES = {v: re.compile(" ".join(f"(?P<{f}>{KINDS.get(f, r'\S+')})" for f in fields)) for v, fields in FIELDS.items()}
 #: Records of an archive segment at most.
 SEGMENT = 2000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,7 +70,7 @@ def arc_segment(version: int, name: str, date: str, records: list[tuple[str, byt
 def arc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, body) of each record after the one that describes the archive.
 
-    Fields are counted from the line's end, as some URLs have blanks. A body is as long as its line says; a line
+    URLs and content types may have blanks: the date between them is all digits. A body is as long as its line says; a line
     that cannot be read, or a body that ends early, is an error.
     """
     version = 0
@@ -83,22 +86,27 @@ def arc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byt
                 raise ValueError(f"ARC version {version}")
             continue
         names = FIELDS[version]
-        values = text.rsplit(" ", len(names) - 1)
-        if len(values) < len(names):
-            raise ValueError(f"ARC line with {len(values)} fields: {text[:80]!r}")
-        fields = dict(zip(names, values))
+        values = LINES[version].fullmatch(text)
+        if not values:
+            raise ValueError(f"ARC line without the {len(names)} fields of its version: {text[:80]!r}")
+        fields = values.groupdict()
         body = stream.read(int(fields["length"]))
         if len(body) < int(fields["length"]):
             raise ValueError(f"ARC body of {len(body)} bytes: {text[:80]!r}")
         yield fields, body
 
 
+#: Ends the header of an HTTP message; many old servers end lines in LF alone.
+BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+
+
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields, in lower case, and payload of an HTTP message; a block of another kind is all payload."""
     if not block.startswith(b"HTTP/"):
         return {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    end = BLANK_LINE.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    lines = (x.split(":", 1) for x in head.decode("utf-8", "replace").splitlines()[1:] if ":" in x)
     return {k.strip().lower(): v.strip() for k, v in lines}, payload
 
 

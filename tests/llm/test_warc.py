@@ -58,3 +58,15 @@ def test_bad_archives():
         list(warc.arc_records(io.BytesIO(data[:-5])))
     with pytest.raises(ValueError, match="version"):
         list(warc.arc_records(io.BytesIO(data.replace(b"\n1 0", b"\n7 0"))))
+
+
+def test_line_ends_and_blanks_of_old_records():
+    for end in (b"\n", b"\r\n"):
+        head, payload = warc.http_parts(end.join([b"HTTP/1.0 200 OK", b"Content-Type: text/html", b"", b"<html>\n\nx"]))
+        assert (head, payload) == ({"content-type": "text/html"}, b"<html>\n\nx")
+    assert warc.http_parts(b"HTTP/1.0 204 No Content\nServer: x") == ({"server": "x"}, b"")
+    about = b"1 0 name\nURL IP-address Archive-date Content-type Archive-length\n"
+    lines = b"filedesc://a 0.0.0.0 20260101000000 text/plain %d\n" % len(about) + about + b"\n"
+    lines += b"http://a/b c 1.2.3.4 19990102030405 text/html; charset=x 4\nbody\n"
+    ((fields, body),) = warc.arc_records(io.BytesIO(lines))
+    assert (fields["url"], fields["ip"], fields["date"], fields["type"], body) == ("http://a/b c", "1.2.3.4", "19990102030405", "text/html; charset=x", b"body")
