@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import arrow, fresh_path, through_table
+from loomspark.llm.common import arrow, fresh_path, sliced, through_table
 from loomspark.llm.token_files import located
 
 FIELDS = {
@@ -35,8 +35,10 @@ TITLES = {
 #: What a field of a line may be; any other has no blanks.
 KINDS = {"url": ".*", "date": r"\d+", "type": ".*", "length": r"\d+"}
 LINES = {v: re.compile(" ".join(f"(?P<{f}>{KINDS.get(f, r'\S+')})" for f in fields)) for v, fields in FIELDS.items()}
-#: Records of an archive segment at most.
+#: Records and bytes of pages of an archive segment at most; a larger page is a segment of its own.
 SEGMENT = 2000
+SEGMENT_BYTES = 1 << 24
+HTTP = "application/http; msgtype=response"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -116,8 +118,8 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-RECORD_SCHEMA = "page_id long, record_id string, target_uri string, date string, content_type string, block binary, payload_digest string, payload_bytes long"
-RECORDS = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("block", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
+RECORD_SCHEMA = "page_id long, record_id string, target_uri string, date string, ip string, content_type string, block binary, payload_digest string, payload_bytes long"
+RECORDS = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("content_type", pa.string()), ("block", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
 
 
 def arc_segments(pages: DataFrame, date: str = "20260101000000") -> DataFrame:
@@ -127,28 +129,36 @@ def arc_segments(pages: DataFrame, date: str = "20260101000000") -> DataFrame:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
+
+        def segment(records):
+            name = f"pages-{part}-{k}.arc"
+            return pa.RecordBatch.from_pydict({"name": [name], "content": [arc_segment(1 + k % 2, name, date, records)]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
+
+        records, size = [], 0
         for batch in batches:
-            rows = batch.to_pylist()
-            for a in range(0, len(rows), SEGMENT):
-                records = []
-                for row in rows[a : a + SEGMENT]:
+            for small in sliced([batch]):
+                for row in small.to_pylist():
                     payload = (row["html"] or "").encode()
+                    if records and (len(records) == SEGMENT or size + len(payload) > SEGMENT_BYTES):
+                        yield segment(records)
+                        records, size, k = [], 0, k + 1
                     own = "" if row["page_id"] is None else f"X-Page-Id: {row['page_id']}\r\n"
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
                     records.append((plain_url(row["url"]), head.encode() + payload))
-                name = f"pages-{part}-{k}.arc"
-                yield pa.RecordBatch.from_pydict({"name": [name], "content": [arc_segment(1 + k % 2, name, date, records)]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
-                k += 1
+                    size += len(payload)
+        if records:
+            yield segment(records)
 
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return chosen.mapInArrow(segments, "name string, content binary")
 
 
-def convert_arc(archives: DataFrame) -> DataFrame:
+def convert_arc(archives: DataFrame, blocks: bool = True) -> DataFrame:
     """The WARC records (see RECORD_SCHEMA) equivalent to the ARC archives in column content, gzipped or not.
 
     page_id is what the HTTP header X-Page-Id says, else null. Digests are base32 SHA-1; the payload is the HTTP
-    message's body. An archive without records gives no rows.
+    message's body, and all of a block of another kind. ip is null where the line names none. An archive without
+    records gives no rows. Without ``blocks`` they are left null.
     """
 
     def convert(batches):
@@ -161,10 +171,11 @@ def convert_arc(archives: DataFrame) -> DataFrame:
                 for fields, body in arc_records(stream):
                     head, payload = http_parts(body)
                     digest, date = sha1(payload), iso_date(fields["date"])
-                    kind = "application/http; msgtype=response" if head else fields["type"]
+                    kind = HTTP if body.startswith(b"HTTP/") else fields["type"]
                     page = head.get("x-page-id")
-                    rows.append({"page_id": int(page) if page else None, "record_id": record_id(fields["url"], date, digest), "target_uri": fields["url"], "date": date, "content_type": kind, "block": body, "payload_digest": digest, "payload_bytes": len(payload)})
-                    if (size := size + len(body)) > 1 << 23:
+                    rows.append({"page_id": int(page) if page else None, "record_id": record_id(fields["url"], date, digest), "target_uri": fields["url"], "date": date, "ip": None if fields["ip"] in ("-", "0.0.0.0") else fields["ip"], "content_type": kind, "block": body if blocks else None, "payload_digest": digest, "payload_bytes": len(payload)})
+                    size += len(body) if blocks else 256
+                    if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(rows, RECORDS)
                         rows, size = [], 0
                 if rows:
@@ -210,13 +221,15 @@ def mark_revisits(records: DataFrame, payloads: DataFrame, least: int = 0) -> Da
     links = payloads.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest").join(groups, "payload_digest").select("page_id", "payload_digest", F.col("kept.page_id").alias("refers_page"), F.col("kept.target_uri").alias("refers_uri"), F.col("kept.date").alias("refers_date")).distinct()
     a, b = records.alias("a"), links.alias("b")
     both = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.payload_digest") == F.col("b.payload_digest"))
-    return a.join(b, both, "left").select("a.*", F.col("b.payload_digest").isNotNull().alias("in_group"), "refers_page", "refers_uri", "refers_date")
+    # a merge join leaves records of one page_id and payload in one partition, which write_warc needs
+    return a.join(b.hint("merge"), both, "left").select("a.*", F.col("b.payload_digest").isNotNull().alias("in_group"), "refers_page", "refers_uri", "refers_date")
 
 
 def write_warc(records: DataFrame, directory: str) -> DataFrame:
     """Write marked records as gzipped WARC files, one a partition; returns the manifest: name, n_records.
 
-    Records of one page_id and payload must stand in one partition one after the other, as mark_revisits' join and
+    A record is a response if its block is an HTTP message, else a resource, as those of dns: and ftp: are; either may
+    be a revisit, which names its payload's length. Records of one page_id and payload must stand in one partition one after the other, as mark_revisits' join and
     sort leave them. Only files that the manifest names count.
     """
 
@@ -233,14 +246,16 @@ def write_warc(records: DataFrame, directory: str) -> DataFrame:
                 key = row["page_id"], row["payload_digest"]
                 revisit = row["in_group"] and (row["page_id"] != row["refers_page"] or key == last)
                 last = key
+                kind = "response" if row["content_type"] == HTTP else "resource"
                 fields = [("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["date"]), ("WARC-Target-URI", row["target_uri"]), ("Content-Type", row["content_type"]), ("WARC-Payload-Digest", "sha1:" + row["payload_digest"])]
+                fields += [("WARC-IP-Address", row["ip"])] if row["ip"] else []
                 block = row["block"]
                 if revisit:
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(row["refers_uri"], row["refers_date"], row["payload_digest"])), ("WARC-Refers-To-Target-URI", row["refers_uri"]), ("WARC-Refers-To-Date", row["refers_date"])]
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(row["refers_uri"], row["refers_date"], row["payload_digest"])), ("WARC-Refers-To-Target-URI", row["refers_uri"]), ("WARC-Refers-To-Date", row["refers_date"]), ("X-Payload-Length", str(row["payload_bytes"]))]
                     fields += [] if row["refers_page"] is None else [("X-Refers-To-Page-Id", str(row["refers_page"]))]
                     block = block[: len(block) - row["payload_bytes"]]
                 fields.append(("WARC-Block-Digest", "sha1:" + sha1(block)))
-                sink.write(warc_record("revisit" if revisit else "response", fields, block))
+                sink.write(warc_record("revisit" if revisit else kind, fields, block))
                 n += 1
         if sink is not None:
             sink.close()
@@ -251,10 +266,9 @@ def write_warc(records: DataFrame, directory: str) -> DataFrame:
 
 
 def read_warc(manifest: DataFrame, directory: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (bare), record_type, refers_to of each response or revisit in the files.
+    """page_id, payload_bytes, payload_digest (bare), record_type, refers_to of each response, resource or revisit.
 
-    A revisit's payload is not in its record: its length is what the HTTP header says, its digest the record's. A
-    response's are worked out again, and a digest that differs from the record's is an error.
+    A revisit's payload is not in its record, which has its length and digest. Those of others are worked out again, and a digest that differs from the record's is an error.
     """
 
     def read(batches):
@@ -264,12 +278,12 @@ def read_warc(manifest: DataFrame, directory: str) -> DataFrame:
                 rows = []
                 with files.open_input_stream(f"{root}/{name}", compression=None) as source:
                     for fields, block in warc_records(io.BufferedReader(gzip.GzipFile(fileobj=source), 1 << 18)):
-                        if fields["warc-type"] not in ("response", "revisit"):
+                        if fields["warc-type"] not in ("response", "resource", "revisit"):
                             continue
                         head, payload = http_parts(block)
                         digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        size = int(head["content-length"]) if fields["warc-type"] == "revisit" else len(payload)
-                        if fields["warc-type"] == "response" and sha1(payload) != digest:
+                        size = int(fields["x-payload-length"]) if fields["warc-type"] == "revisit" else len(payload)
+                        if fields["warc-type"] != "revisit" and sha1(payload) != digest:
                             raise ValueError(f"{name}: a payload that does not match its digest")
                         page, refers = head.get("x-page-id"), fields.get("x-refers-to-page-id")
                         rows.append({"page_id": int(page) if page else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(refers) if refers else None})
@@ -287,17 +301,20 @@ def read_warc(manifest: DataFrame, directory: str) -> DataFrame:
     return spread.mapInArrow(read, READ_SCHEMA)
 
 
+def archived(archives: DataFrame, directory: str) -> DataFrame:
+    """ARC archives as WARC files in a shared folder, read back: a row for each record, see read_warc.
+
+    Revisits are found among the converted records. They are converted twice, as their payloads' digests alone are
+    shuffled the first time.
+    """
+    payloads = convert_arc(archives, blocks=False).select("page_id", "target_uri", "date", "payload_digest", "payload_bytes")
+    return read_warc(write_warc(mark_revisits(convert_arc(archives), payloads), directory), directory)
+
+
 def archived_pages(pages: DataFrame, date: str = "20260101000000") -> DataFrame:
     """Pages as ARC archives, converted to WARC files in the shared folder, and read back: a row for each page.
 
     Null html is an empty payload. Pages of equal payloads are one response, that of the largest page_id, and
     revisits of it. Null page_ids come back null; other columns are ignored.
     """
-    directory = fresh_path(pages.sparkSession, "warc")
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    narrow = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), F.unhex(F.sha1(F.encode(payload, "utf-8"))).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    base32 = F.udf(lambda d: base64.b32encode(bytes(d)).decode(), "string", useArrow=True)
-    url = F.udf(plain_url, "string", useArrow=True)
-    narrow = narrow.select("page_id", url("target_uri").alias("target_uri"), F.lit(iso_date(date)).alias("date"), base32("digest").alias("payload_digest"), "payload_bytes")
-    records = convert_arc(arc_segments(pages, date))
-    return read_warc(write_warc(mark_revisits(records, narrow), directory), directory)
+    return archived(arc_segments(pages, date), fresh_path(pages.sparkSession, "warc"))

@@ -70,3 +70,20 @@ def test_line_ends_and_blanks_of_old_records():
     lines += b"http://a/b c 1.2.3.4 19990102030405 text/html; charset=x 4\nbody\n"
     ((fields, body),) = warc.arc_records(io.BytesIO(lines))
     assert (fields["url"], fields["ip"], fields["date"], fields["type"], body) == ("http://a/b c", "1.2.3.4", "19990102030405", "text/html; charset=x", b"body")
+
+
+def test_records_of_other_kinds(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 10)
+    bodies = [b"HTTP/1.0 200 OK\n\nsame", b"same", b"HTTP/1.0 200 OK\nContent-Length: 99\n\nsame", b"a.example. 1 IN A 1.2.3.4", b"HTTP/1.0 204 No Content\r\n\r\n"]
+    urls = ["http://a/", "ftp://a/", "http://b/", "dns:a", "http://c/"]
+    data = warc.arc_segment(1, "a.arc", "19961104142103", list(zip(urls, bodies))).replace(b"dns:a 0.0.0.0", b"dns:a 9.8.7.6")
+    archives = spark.createDataFrame([(bytearray(data),)], "content binary")
+    records = warc.convert_arc(archives).collect()
+    assert [r.ip for r in records] == [None, None, None, "9.8.7.6", None]
+    got = warc.archived(archives, warc.fresh_path(spark, "warc-test")).collect()
+    kinds = [r.record_type for r in sorted(got, key=lambda r: r.payload_bytes)]
+    assert kinds[0] == "response" and kinds[4] == "resource" and sorted(kinds[1:4])[1:] == ["revisit"] * 2 and sorted(kinds[1:4])[0] != "revisit"
+    assert [r.payload_bytes for r in sorted(got, key=lambda r: r.payload_bytes)] == [0, 4, 4, 4, 25]
+    pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(12)], "page_id long, url string, html string").coalesce(1)
+    assert warc.arc_segments(pages).count() > 5
+    assert {r.page_id: r.payload_bytes for r in warc.archived_pages(pages).collect()} == {k: k for k in range(12)}
