@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and their SQL where SQL can express them."""
+"""The queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
 from loomspark.llm.decontamination import contaminated
+from loomspark.llm.divergence import source_divergence
 from loomspark.llm.pii import pseudonymised
 from loomspark.llm.quality import quality_rules
 from loomspark.llm.sharding import shard_documents
@@ -59,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 #: Base32 of SHA-1 by hand: 5 hexadecimal digits are 4 letters. The response of equal payloads is the last page.
 OP6_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -97,12 +102,30 @@ SELECT doc_id, item_id, similarity, first - 1 AS first_word FROM scored WHERE si
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
 """
 
+#: Each kept term against each group and each pair of groups of its language, missing terms as count 0.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.total + l.v) AS BIGINT) AS q
+  FROM totals g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination)
+    found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of what SQL can express: it has no tokenizers, XXH64 or CRC-32, and no draws or packing in rounds."""
-    return {"op6_warc": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL, "op13_source_divergence": OP13_SQL}
