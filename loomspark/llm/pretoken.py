@@ -136,12 +136,16 @@ def split(texts: list[str], joins_space: bool) -> Pieces:
     if not len(points):
         none = np.zeros(0, np.int64)
         return Pieces(none, none, none.astype(np.uint64), "", none.reshape(0, 2))
-    starts, ends = _starts(points, begins[sizes > 0], joins_space)
+    return pieces_at(joined, points, *_starts(points, begins[sizes > 0], joins_space), sizes)
+
+
+def pieces_at(joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Pieces:
+    """The pieces with these starts and ends in texts of these sizes, end to end."""
     hashes = span_hashes(symbol_values()[points], starts, ends)
     code, distinct = pd.factorize(hashes)
     first = np.zeros(len(distinct), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
-    owner = np.searchsorted(begins + sizes, starts, side="right")
+    owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
     return Pieces(owner, code, distinct, joined, np.stack([starts[first], ends[first]], 1))
 
 
