@@ -12,7 +12,6 @@ with their counts; of the others each text's pairs meet their counts in a join.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -114,24 +113,6 @@ def vocabularies(a: str, b: str) -> tuple[Vocabulary, Vocabulary]:
     return ByteVocabulary(a), PieceVocabulary(b)
 
 
-def parts(text: str, most: int) -> Iterator[str]:
-    """A blank and the text, in parts of about ``most`` characters that each begin with a blank after a character that
-    is no white space: no token of either vocabulary spans such a gap."""
-    whole, at = " " + text, 0
-    while at < len(whole):
-        cut = at + most
-        while True:
-            cut = whole.find(" ", cut)
-            if cut < 0 or cut >= len(whole) - 1:
-                cut = len(whole)
-                break
-            if not whole[cut - 1].isspace() and not whole[cut + 1].isspace():
-                break
-            cut += 1
-        yield whole[at:cut]
-        at = cut
-
-
 @dataclass
 class Aligned:
     """Tokens of n texts in two vocabularies, end to end. a, b: ids; text_a, text_b: the text of each; first, last: the
@@ -250,25 +231,6 @@ COUNTS = pa.schema([("pair", pa.int64()), ("count", pa.int64())])
 MET = pa.schema([("row", pa.int64()), ("count_sum", pa.int64()), ("n_best", pa.int64()), ("pair", pa.int64()), ("times", pa.int64())])
 
 
-def blocks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The rows and parts of texts with about ``most`` characters; a text's parts follow each other. Empty texts have
-    none."""
-    rows: list[int] = []
-    found: list[str] = []
-    size = 0
-    for k in range(batch.num_rows):
-        text = batch.column(1)[k].as_py()
-        for part in parts(text, most) if text else ():
-            rows.append(k)
-            found.append(part)
-            size += len(part)
-            if size >= most:
-                yield rows, found
-                rows, found, size = [], [], 0
-    if found:
-        yield rows, found
-
-
 def aligned_texts(docs: DataFrame, a: str, b: str, block: int) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, groups_sha256, pairs, times: a row for each row of ``docs``; pairs and times:
     the distinct linked pairs of ids, ascending integers of ``pair_type``, and how often each is linked, as 32-bit ones."""
@@ -282,7 +244,7 @@ def aligned_texts(docs: DataFrame, a: str, b: str, block: int) -> DataFrame:
         for batch in sliced(batches):
             texts: list[Text | None] = [None] * batch.num_rows
             out: list[tuple] = [NOTHING] * batch.num_rows
-            for rows, found in blocks(batch, block):
+            for rows, found in pretoken.part_blocks((" " + t if t else "" for t in batch.column(1).to_pylist()), block):
                 here, bad = aligned(found, one, two)
                 n = len(found)
                 n_a, n_b = np.bincount(here.text_a, minlength=n), np.bincount(here.text_b, minlength=n)
@@ -305,9 +267,8 @@ def aligned_texts(docs: DataFrame, a: str, b: str, block: int) -> DataFrame:
                     if texts[r] is None:
                         texts[r] = Text()
                     texts[r].add(int(n_a[k]), int(n_b[k]), int(n_groups[k]), bool(bad[k]), spelt[cut[k] : cut[k + 1]], pairs[edge[k] : edge[k + 1]], times[edge[k] : edge[k + 1]])
-                for r in rows[:-1] if rows else ():  # the last one may go on
-                    if r != rows[-1] and texts[r] is not None:
-                        out[r], texts[r] = texts[r].row(kind), None
+                for r in set(rows[:-1]) - {rows[-1]}:  # the last one may go on
+                    out[r], texts[r] = texts[r].row(kind), None
             for r, t in enumerate(texts):
                 if t is not None:
                     out[r] = t.row(kind)

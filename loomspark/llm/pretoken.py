@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -161,6 +162,38 @@ def blocks(texts: list[str], most: int = 1 << 18):
         yield begin, len(texts)
 
 
+def long_parts(text: str, most: int) -> Iterator[str]:
+    """The text in parts of about ``most`` characters, cut before a blank that stands between two characters that are
+    no white space: no pre-token spans such a gap. A text without one is one part."""
+    at = 0
+    while at < len(text):
+        cut = text.find(" ", at + most)
+        while 0 <= cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if not 0 <= cut < len(text) - 1:
+            cut = len(text)
+        yield text[at:cut]
+        at = cut
+
+
+def part_blocks(texts: Iterable[str], most: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
+    """Parts of texts in blocks of about ``most`` characters, and the number of the text that each part is of. Parts of
+    a text follow each other; empty texts have none."""
+    rows: list[int] = []
+    found: list[str] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for part in long_parts(text, most):
+            rows.append(k)
+            found.append(part)
+            size += len(part)
+            if size >= most:
+                yield rows, found
+                rows, found, size = [], [], 0
+    if found:
+        yield rows, found
+
+
 def cut_specials(texts: list[str], specials: tuple[str, ...]) -> tuple[list[str], np.ndarray, dict[int, str]]:
     """Texts cut at special strings: the parts, the text that each part is of, and by part the special string after it."""
     if not any(s in t for t in texts for s in specials):

@@ -11,6 +11,7 @@ from loomspark.llm.bpe_trie import encoding_digests
 from loomspark.llm.common import read
 from loomspark.llm.decontamination import contaminated
 from loomspark.llm.divergence import source_divergence
+from loomspark.llm.packing import packing_digests
 from loomspark.llm.pii import pseudonymised
 from loomspark.llm.quality import quality_rules
 from loomspark.llm.sharding import shard_documents
@@ -61,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digests(read(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(read(spark, sf_dir, "documents"))
 
@@ -127,7 +132,7 @@ SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination, op12_token_alignment, op13_source_divergence)
+    found = (op1_token_counts, op2_bpe_trie, op3_pii, op4_simhash, op5_token_files, op6_warc, op7_sharding, op8_suffix_dedup, op9_quality_rules, op10_decontamination, op11_packing, op12_token_alignment, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 

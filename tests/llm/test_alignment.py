@@ -7,7 +7,7 @@ import sentencepiece
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from loomspark.llm import alignment
+from loomspark.llm import pretoken
 from loomspark.llm.alignment import Aligned, token_alignment
 from loomspark.llm.bpe_trie import byte_letters
 from loomspark.llm.common import read
@@ -68,7 +68,7 @@ def test_random_texts(spark):
 
 def test_long_texts_go_in_parts(spark):
     text = " ".join(random_texts(3000, 4))
-    assert len(list(alignment.parts(text, 50))) > 100 and "".join(alignment.parts(text, 50)) == " " + text
+    assert len(list(pretoken.long_parts(text, 50))) > 100 and "".join(pretoken.long_parts(text, 50)) == text
     rows = [(1, text), (2, "short one"), (3, text + "▁"), (4, text + " "), (5, "x" * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert rows_of(token_alignment(df, block=50)) == brute(rows)
