@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -51,6 +52,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def one_core() -> None:
+    """Tokenizers work on the core of the task that calls them, unless the environment says otherwise."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows: as many texts as a worker makes strings of at a time."""
     for batch in batches:

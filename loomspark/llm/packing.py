@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from loomspark.llm import pretoken
 from loomspark.llm.bpe_trie import cleaned
-from loomspark.llm.common import arrow, id_and_text, sliced
+from loomspark.llm.common import arrow, id_and_text, one_core, sliced
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
@@ -151,6 +151,7 @@ class Windows:
 @cache
 def encoder(path: str) -> tuple[pretoken.WordIds, dict[str, int]]:
     """Ids of words that are cleaned and cut already, and those of the file's special strings."""
+    one_core()
     words = Tokenizer.from_file(path)
     specials = {t.content: i for i, t in words.get_added_tokens_decoder().items()}
     words.no_truncation()
@@ -164,13 +165,9 @@ def encoder(path: str) -> tuple[pretoken.WordIds, dict[str, int]]:
 def encoded(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     """The ids of each text and the end id; long texts are encoded in parts."""
     words, specials = encoder(path)
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    for rows, parts in pretoken.part_blocks(texts):
-        ids, sizes = pretoken.encoded(parts, words, False, specials, cleaned)
-        for k, x in zip(rows, np.split(ids, np.cumsum(sizes)[:-1])):
-            found[k].append(x)
-    end = np.array([end_id], np.uint32)
-    return [np.concatenate([*x, end]).astype(np.uint32) for x in found]
+    ids, sizes = pretoken.encoded_whole(texts, words, False, specials, cleaned)
+    ends = np.cumsum(sizes)
+    return np.split(np.insert(ids, ends, end_id), (ends + np.arange(1, len(texts) + 1))[:-1])
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

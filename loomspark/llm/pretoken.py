@@ -225,34 +225,39 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by key
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
 
     def of(self, pieces: Pieces) -> np.ndarray:
         """The slot of each distinct piece."""
-        keys = pieces.hashes.tolist()
-        if len(self.slots) + len(keys) > self.most:
+        keys = pieces.hashes
+        if len(self.keys) + len(keys) > self.most:
             self.clear()
-        slots = [self.slots.get(k, -1) for k in keys]
-        new = np.flatnonzero(np.array(slots, np.int64) < 0)
+        at = np.searchsorted(self.keys, keys)
+        there = np.append(self.keys, np.uint64(0))[at] == keys
+        there &= at < len(self.keys)
+        new = np.flatnonzero(~there)
         if len(new):
-            self._add([keys[i] for i in new.tolist()], self.encode(pieces.words(new)))
-            slots = [self.slots[k] for k in keys]
-        return np.array(slots, np.int64)
-
-    def _add(self, keys: list[int], ids: list[list[int]]) -> None:
-        at, lengths = len(self.slots), np.fromiter(map(len, ids), np.int64, len(ids))
-        self.slots.update(zip(keys, range(at, at + len(keys))))
+            new = new[np.argsort(keys[new])]
+            first = len(self.keys)
+            self._add(first, self.encode(pieces.words(new)))
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.slots = np.insert(self.slots, at[new], np.arange(first, first + len(new)))
+            at = np.searchsorted(self.keys, keys)
+        return self.slots[at]
+
+    def _add(self, at: int, ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < len(self.slots):
+        while len(self.begin) < at + len(ids):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.length[at : at + len(keys)] = lengths
-        self.begin[at : at + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(ids)] = lengths
+        self.begin[at : at + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
 
 
@@ -273,3 +278,13 @@ def encoded(texts: list[str], cache: WordIds, joins_space: bool, specials: dict[
         ids = np.concatenate([ids, np.array([specials[s] for s in names], np.uint32)])
     sizes = np.bincount(owner[text], weights=length, minlength=len(texts)).astype(np.int64) if len(text) else np.zeros(len(texts), np.int64)
     return ids[ragged(begin, length)], sizes
+
+
+def encoded_whole(texts: list[str], cache: WordIds, joins_space: bool, specials: dict[str, int], clean=lambda t: t) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encoded``, a block of parts at a time: what is held besides the ids does not grow with a text."""
+    found, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+    for rows, parts in part_blocks(texts):
+        ids, lengths = encoded(parts, cache, joins_space, specials, clean)
+        found.append(ids)
+        np.add.at(sizes, rows, lengths)
+    return np.concatenate(found), sizes

@@ -35,13 +35,14 @@ def tokens(text):
 
 
 def brute(rows):
-    """By every pair of tokens' ends."""
+    """By the sets of both sides' ends."""
     known, count = [], Counter()
     for doc_id, text in rows:
         a, end_a, b, end_b = tokens(text)
-        links = [(x, y) for x, e in zip(a, end_a) for y, f in zip(b, end_b) if e == f] if len(a) < 300 else [(x, dict(zip(end_b, b))[e]) for x, e in zip(a, end_a) if e in set(end_b)]
+        b_at = dict(zip(end_b, b))
+        links = [(x, b_at[e]) for x, e in zip(a, end_a) if e in b_at]
         count.update(links)
-        common = sorted(set(end_a) & set(end_b))
+        common = np.array(sorted(set(end_a) & set(end_b)))
         groups = [([], []) for _ in common]
         for side, (ids, ends) in enumerate(((a, end_a), (b, end_b))):
             for i, e in zip(ids, ends):
