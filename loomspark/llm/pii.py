@@ -16,11 +16,12 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,10 @@ from loomspark.llm.common import sliced, through_table
 
 #: Entities that drew again, up to which they are broadcast; beyond, they are joined to the documents that have them.
 BROADCAST = 200_000
+#: The key where the session's configuration sets none under ``KEY_SETTING``. Who knows the key can tell whose a surrogate
+#: is, so that an installation sets its own.
 DEFAULT_KEY = b"an installation sets its own key"
+KEY_SETTING = "spark.loomspark.pii.key"
 
 #: Titles before a name, by gender.
 TITLES = {
@@ -50,6 +54,15 @@ SYLLABLES = {
     "latin": "bal ber bor dal den dor fal fen gar gel hal hen hol kar kel kor lan len lor mar mel mor nar nel nor pal per por ral ren ros sal sel sor tal tel tor val ver vol wal wen wor zan zel zor".split(),
     "cyrillic": "бал бер вал вер гор дал ден зор кал кор лан лен мар мел нор пал пер рал рен сал сер тал тор фал хол чер".split(),
 }
+#: Capitalised words that follow a title or stand within a heading and are no names.
+NO_NAMES = set(
+    "a an and are as at but by for from has have he her his how i if in is it its me my no not of on or our she so than that the their them then there they this to was we were what when where which who why will with you your "
+    "academy america avenue award bridge bug cathedral chairman chancellor church club college committee company council court cup day director editor engineer general god governor hall high home hospital hotel house island judge justice "
+    "king lady library lord luck madam manager market mayor minister museum officer palace park place president président presidente präsident президент prince princess prize queen rings river road school secretary sir speaker square station street teacher theatre tower university universe world "
+    "das dem den der des die ein eine für im in ist mit und vom von zu zum zur le la les du des un une et est pour dans de del el los las y en por para con il lo gli e di da и в на не что он она это как но".split()
+)
+#: How given names end that are made of syllables, by script and gender.
+ENDING = {("latin", "f"): "a", ("latin", "m"): "o", ("latin", "n"): "i", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ор", ("cyrillic", "n"): "и"}
 NAME = r"[A-ZÀ-ÞĀ-ŽА-ЯЁ][\w'’-]*"
 #: A phone number ends before an address, a card, a social security number or another phone number.
 NO_OTHER = r"(?!(?:\d{1,3}\.){3}\d|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{3}-\d{2}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})"
@@ -107,6 +120,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in TITLED.finditer(text):
             at, words = m.start("v"), m["v"].split(" ")
             gender = next((g for t in re.findall(r"\w+", m["t"]) if (g := TITLE_GENDER[t]) != "n"), "n")
+            words = words[: next((k for k, w in enumerate(words) if POSSESSIVE.sub("", w).lower() in NO_NAMES), len(words))]
             for k, whole in enumerate(words):
                 word = POSSESSIVE.sub("", whole)
                 kind = f"surname:{script_of(word)}" if k == len(words) - 1 else f"given:{script_of(word)}:{gender}"
@@ -116,10 +130,23 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if b - a > 1:
                 names.setdefault(text[a:b], kind)
                 names.setdefault(text[a:b].upper(), kind)
+        names = without_common(names, text)
         found.add([(a, b, names[text[a:b]], text[a:b].lower()) for a, b in mentions_of(names, text)] if names else [])
     return found.entities
 
 
+def without_common(names: dict[str, str], text: str) -> dict[str, str]:
+    """Names but those whose word the text has more often in lower case: there it is a common word, which only a title
+    makes a name."""
+    lower, spelt = Counter(), Counter()
+    known = {n.lower() for n in names} if names else set()
+    for m in WORD.finditer(text) if names else ():
+        word = POSSESSIVE.sub("", m[0])
+        if (key := word.lower()) in known:
+            (lower if word == key else spelt)[key] += 1
+    return {n: kind for n, kind in names.items() if lower[n.lower()] <= spelt[n.lower()]}
+
+
 def mentions_of(names: dict[str, str], text: str) -> Iterator[tuple[int, int]]:
     """Where the names stand as words of their own; of those that begin in one place, the longest."""
     for m in WORD.finditer(text):
@@ -248,7 +275,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         _, script, gender = kind.split(":")
         names, ends = GIVEN[script, gender], SYLLABLES[script]
         name = names[draw.below(len(names))].lower()
-        return name if attempt < 2 else "-".join([name, names[draw.below(len(names))].lower() + "".join(ends[draw.below(len(ends))] for _ in range(attempt - 2))])
+        return name if attempt < 2 else "".join(ends[draw.below(len(ends))] for _ in range(attempt)) + ENDING[script, gender]
     if kind.startswith("surname:"):
         parts = SYLLABLES[kind.split(":")[1]]
         return "".join(parts[draw.below(len(parts))] for _ in range(3 + max(0, attempt - 3)))
@@ -334,14 +361,21 @@ def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
             return kept
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, broadcast: int = BROADCAST, counts: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    return setting.encode() if (setting := spark.conf.get(KEY_SETTING, None)) else DEFAULT_KEY
+
+
+def pseudonymised(docs: DataFrame, key: bytes | None = None, broadcast: int = BROADCAST, counts: str | None = None) -> DataFrame:
     """``docs`` with the entities in column text replaced; other columns, and rows without entities, are unchanged.
 
+    key: of the keyed draws; without one, what the session's ``KEY_SETTING`` says.
+
     counts: a further column of this name has the number of entities replaced; a column of ``docs`` of the same name
     gives way to it. Null text stays null, with none; empty text stays empty, and very long text is read whole. Repeated
     rows are replaced alike, each in its place; an empty table gives no rows.
     """
     spark, docs = docs.sparkSession, docs.drop(counts) if counts else docs
+    key = key or session_key(spark)
     again = surrogate_table(docs, key).filter("attempt > 0").select("kind", "value", "surrogate")
     own_names, at = docs.columns, docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *([T.StructField(counts, T.IntegerType())] if counts else [])])

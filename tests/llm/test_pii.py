@@ -122,6 +122,43 @@ def test_bare_mentions_of_titled_names():
     assert len(kinds) == 6
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Lord Of The Rings is long. The end came. The cat sat; Of course. Mr President spoke of The President.",
+        "Miss Universe, Dame Street, Lady Bug, Miss World and Lady Luck; Sir, The Mayor. Dr. In The House. Herr Der Ringe.",
+        "Frau Und Mann. Monsieur Le Président",
+    ],
+)
+def test_capitals_after_titles_that_are_no_names(text):
+    assert pii.replaced(text, KEY, lambda *_: None) == (text, [])
+
+
+def test_names_end_before_other_words_and_common_words_stay():
+    assert kinds_of("Sir Walter Scott Prize") == {("Walter", "given"), ("Scott", "surname")}
+    assert kinds_of("Mr. Brown saw a brown dog and a brown cat; Brown ran.") == {("Brown", "surname")}
+    text = "Mr. Brown, a brown dog, brown cats, brown rats. Brown bread."
+    assert [(a, text[a:b]) for a, b, *_ in pii.entities(text)] == [(4, "Brown")]
+
+
+def test_given_names_of_later_attempts_are_one_word():
+    for kind in ("given:latin:f", "given:latin:m", "given:latin:n", "given:cyrillic:f"):
+        for attempt in range(2, 9):
+            name = pii.surrogate(KEY, kind, "anna", attempt)
+            assert name.isalpha() and name == name.lower() and pii.script_of(name) == kind.split(":")[1]
+    assert len({pii.surrogate(KEY, "given:latin:f", str(k), 4) for k in range(2000)}) > 1990
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "a.b@example.com")], "doc_id long, text string")
+    own, (other,) = pii.pseudonymised(docs, b"mine").first().text, [r.text for r in pii.pseudonymised(docs).collect()]
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert own == pii.pseudonymised(docs).first().text != other
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_ipv6_surrogates_are_addresses_in_the_format_of_the_mention():
     import ipaddress
 
