@@ -46,8 +46,9 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest}')}>"
+def record_id(archive: str, place: int, url: str, date: str, digest: str) -> str:
+    """An id that a record keeps however often it is converted: by its archive, its place there and what it says."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive} {place} {url} {date} {digest}')}>"
 
 
 def plain_url(url: str | None) -> str:
@@ -113,8 +114,8 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def iso_date(date: str) -> str:
-    """Of an ARC date, YYYYMMDD and as many of the digits of hhmmss as there are."""
-    d = (date + "000000")[:14] if len(date) < 14 else date[:14]
+    """Of an ARC date, YYYYMMDDhhmmss or as many of its digits as there are: the first moment that fits them."""
+    d = date[:14] + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -168,12 +169,13 @@ def convert_arc(archives: DataFrame, blocks: bool = True) -> DataFrame:
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
                 rows: list[dict] = []
                 size = 0
-                for fields, body in arc_records(stream):
+                archive = sha1(content)
+                for place, (fields, body) in enumerate(arc_records(stream)):
                     head, payload = http_parts(body)
                     digest, date = sha1(payload), iso_date(fields["date"])
                     kind = HTTP if body.startswith(b"HTTP/") else fields["type"]
                     page = head.get("x-page-id")
-                    rows.append({"page_id": int(page) if page else None, "record_id": record_id(fields["url"], date, digest), "target_uri": fields["url"], "date": date, "ip": None if fields["ip"] in ("-", "0.0.0.0") else fields["ip"], "content_type": kind, "block": body if blocks else None, "payload_digest": digest, "payload_bytes": len(payload)})
+                    rows.append({"page_id": int(page) if page else None, "record_id": record_id(archive, place, fields["url"], date, digest), "target_uri": fields["url"], "date": date, "ip": None if fields["ip"] in ("-", "0.0.0.0") else fields["ip"], "content_type": kind, "block": body if blocks else None, "payload_digest": digest, "payload_bytes": len(payload)})
                     size += len(body) if blocks else 256
                     if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(rows, RECORDS)
@@ -211,18 +213,19 @@ READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payl
 
 
 def mark_revisits(records: DataFrame, payloads: DataFrame, least: int = 0) -> DataFrame:
-    """Records with the page that each revisits: columns in_group, refers_page, refers_uri, refers_date.
+    """Records with the one that each revisits: columns in_group, refers_page, refers_uri, refers_date, refers_id.
 
-    payloads: page_id, target_uri, date, payload_digest, payload_bytes of the same records, without their blocks. Of
+    payloads: record_id, page_id, target_uri, date, payload_digest, payload_bytes of the same records, without their blocks. Of
     records with equal payloads of ``least`` bytes or more, that with the largest page_id is the response; a null
-    page_id is the smallest. Of records equal in page_id and payload, the first is the response of the others.
+    page_id is the smallest. Of records equal in page_id and payload, that with the largest URI, date and id is the
+    response of the others.
     """
-    groups = payloads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(F.struct("page_id", "target_uri", "date")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    links = payloads.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest").join(groups, "payload_digest").select("page_id", "payload_digest", F.col("kept.page_id").alias("refers_page"), F.col("kept.target_uri").alias("refers_uri"), F.col("kept.date").alias("refers_date")).distinct()
+    groups = payloads.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(F.struct("page_id", "target_uri", "date", "record_id")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    links = payloads.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest").join(groups, "payload_digest").select("page_id", "payload_digest", F.col("kept.page_id").alias("refers_page"), F.col("kept.target_uri").alias("refers_uri"), F.col("kept.date").alias("refers_date"), F.col("kept.record_id").alias("refers_id")).distinct()
     a, b = records.alias("a"), links.alias("b")
     both = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.payload_digest") == F.col("b.payload_digest"))
     # a merge join leaves records of one page_id and payload in one partition, which write_warc needs
-    return a.join(b.hint("merge"), both, "left").select("a.*", F.col("b.payload_digest").isNotNull().alias("in_group"), "refers_page", "refers_uri", "refers_date")
+    return a.join(b.hint("merge"), both, "left").select("a.*", F.col("b.payload_digest").isNotNull().alias("in_group"), "refers_page", "refers_uri", "refers_date", "refers_id")
 
 
 def write_warc(records: DataFrame, directory: str) -> DataFrame:
@@ -251,7 +254,7 @@ def write_warc(records: DataFrame, directory: str) -> DataFrame:
                 fields += [("WARC-IP-Address", row["ip"])] if row["ip"] else []
                 block = row["block"]
                 if revisit:
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(row["refers_uri"], row["refers_date"], row["payload_digest"])), ("WARC-Refers-To-Target-URI", row["refers_uri"]), ("WARC-Refers-To-Date", row["refers_date"]), ("X-Payload-Length", str(row["payload_bytes"]))]
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", row["refers_id"]), ("WARC-Refers-To-Target-URI", row["refers_uri"]), ("WARC-Refers-To-Date", row["refers_date"]), ("X-Payload-Length", str(row["payload_bytes"]))]
                     fields += [] if row["refers_page"] is None else [("X-Refers-To-Page-Id", str(row["refers_page"]))]
                     block = block[: len(block) - row["payload_bytes"]]
                 fields.append(("WARC-Block-Digest", "sha1:" + sha1(block)))
@@ -261,7 +264,8 @@ def write_warc(records: DataFrame, directory: str) -> DataFrame:
             sink.close()
             yield arrow({"name": [name], "n_records": [n]}, MANIFEST)
 
-    ordered = records.sortWithinPartitions("page_id", "payload_digest")
+    # of equal pages and payloads that which the others refer to comes first
+    ordered = records.sortWithinPartitions("page_id", "payload_digest", F.desc("target_uri"), F.desc("date"), F.desc("record_id"))
     return through_table(ordered.mapInArrow(write, "name string, n_records long"), "warc-manifest")
 
 
@@ -307,7 +311,7 @@ def archived(archives: DataFrame, directory: str) -> DataFrame:
     Revisits are found among the converted records. They are converted twice, as their payloads' digests alone are
     shuffled the first time.
     """
-    payloads = convert_arc(archives, blocks=False).select("page_id", "target_uri", "date", "payload_digest", "payload_bytes")
+    payloads = convert_arc(archives, blocks=False).select("record_id", "page_id", "target_uri", "date", "payload_digest", "payload_bytes")
     return read_warc(write_warc(mark_revisits(convert_arc(archives), payloads), directory), directory)
 
 

@@ -87,3 +87,29 @@ def test_records_of_other_kinds(spark, monkeypatch):
     pages = spark.createDataFrame([(k, "u", "x" * k) for k in range(12)], "page_id long, url string, html string").coalesce(1)
     assert warc.arc_segments(pages).count() > 5
     assert {r.page_id: r.payload_bytes for r in warc.archived_pages(pages).collect()} == {k: k for k in range(12)}
+
+
+def test_ids_are_unique_and_revisits_refer_to_their_response(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (2, "v", "same"), (None, "u", "same"), (3, "u", ""), (4, "u", ""), (5, "u", "alone"), (None, "w", "none"), (None, "w", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    directory = warc.fresh_path(spark, "warc-test")
+    archives = warc.arc_segments(pages).persist()
+    payloads = warc.convert_arc(archives, blocks=False)
+    manifest = warc.write_warc(warc.mark_revisits(warc.convert_arc(archives), payloads), directory).collect()
+    files, root = warc.located(directory)
+    found = []
+    for m in manifest:
+        with files.open_input_stream(f"{root}/{m['name']}", compression=None) as source:
+            found += [f for f, _ in warc.warc_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(source.read()))))]
+    ids = [f["warc-record-id"] for f in found]
+    assert len(ids) == len(set(ids)) == len(rows) + len(manifest)
+    whole = {f["warc-record-id"]: f for f in found if f["warc-type"] == "response"}
+    again = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(whole) == 4 and len(again) == 6
+    for f in again:
+        assert f["warc-payload-digest"] == whole[f["warc-refers-to"]]["warc-payload-digest"]
+        assert f["warc-refers-to-target-uri"] == whole[f["warc-refers-to"]]["warc-target-uri"]
+
+
+def test_short_dates():
+    assert [warc.iso_date(d) for d in ("2026", "199611", "19961104", "1996110414", "19961104142103")] == ["2026-01-01T00:00:00Z", "1996-11-01T00:00:00Z", "1996-11-04T00:00:00Z", "1996-11-04T14:00:00Z", "1996-11-04T14:21:03Z"]
