@@ -39,30 +39,6 @@ def penalised_score(components: dict[str, float], penalties: Sequence[tuple[str,
     return total
 
 
-def held_with_buffer(df: DataFrame, score: str, k: int, buffer: int, panel: Panel = PANEL) -> DataFrame:
-    """The k holdings of each date, where those held the date before stay while they rank within the buffer.
-
-    What is held depends on the date before, so dates follow one another; only the rows within the buffer take part,
-    ``buffer`` a date, which is why one group can hold them all.
-    """
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("rank", R.first_rank(score, [panel.date], [panel.entity], descending=True))
-    near = ranked.filter(F.col("rank") <= buffer).select(panel.date, panel.entity, "rank")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        out = []
-        for date, day in rows.sort_values([panel.date, "rank"]).groupby(panel.date):
-            names = day[panel.entity].tolist()
-            stay = [n for n in names if n in held][:k]
-            new = [n for n in names if n not in held][: k - len(stay)]
-            held = {*stay, *new}
-            out += [(date, n, int(r), n in stay) for n, r in zip(names, day["rank"]) if n in held]
-        return pd.DataFrame(out, columns=[panel.date, panel.entity, "rank", "kept"])
-
-    types = {c: df.schema[c].dataType.simpleString() for c in panel.keys}
-    return near.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, f"{panel.date} {types[panel.date]}, {panel.entity} {types[panel.entity]}, rank int, kept boolean")
-
-
 def holding_changes(positions: DataFrame, scored: DataFrame, score: str, panel: Panel = PANEL) -> DataFrame:
     """Entrants and exits between consecutive dates of positions, with the ranks before and after."""
     days = calendar(positions, panel)

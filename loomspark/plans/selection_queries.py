@@ -26,11 +26,6 @@ def penalised_score(spark, d):
     return rounded(df, "symbol", "trade_date", "score")
 
 
-@query(None)
-def held_with_buffer(spark, d):
-    return sel.held_with_buffer(panel(spark, d), "close", 3, 6)
-
-
 @query(f"""WITH {PANEL_SQL}, r AS (SELECT symbol, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY close DESC, symbol) AS rank FROM panel), h AS (SELECT symbol, trade_date FROM r WHERE rank <= 3), c AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS previous_date FROM (SELECT DISTINCT trade_date FROM h)),
 x AS (SELECT h.symbol, c.trade_date, c.previous_date, 'entrant' AS kind FROM h JOIN c USING (trade_date) WHERE previous_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h b WHERE b.symbol = h.symbol AND b.trade_date = c.previous_date)
   UNION ALL SELECT h.symbol, c.trade_date, c.previous_date, 'exit' FROM h JOIN c ON h.trade_date = c.previous_date WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.symbol = h.symbol AND b.trade_date = c.trade_date))

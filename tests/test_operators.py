@@ -10,7 +10,7 @@ from loomspark.functions import recipes as R
 from loomspark.operators import cross_section as cs
 from loomspark.operators import diagnostics as dg
 from loomspark.operators import inference as inf
-from loomspark.operators import controls, intraday, labels, models, selection, splits, weights
+from loomspark.operators import controls, intraday, labels, models, ensembles, selection, splits, weights
 from loomspark.operators import panel as pn
 from loomspark.operators import time_series as ts
 from loomspark.sources import artifacts
@@ -138,7 +138,7 @@ def test_buffer_remembers(spark):
     rows = [(s, d, float(v)) for d, day in zip(DAYS, [[5, 4, 3, 2], [1, 4, 3, 5], [1, 2, 3, 5]]) for s, v in enumerate(day)]
     df = spark.createDataFrame(rows, "symbol long, trade_date date, score double")
     got = {}
-    for r in selection.held_with_buffer(df, "score", 2, 3).collect():
+    for r in ensembles.held_with_buffer(df, "score", 2, 3).collect():
         got.setdefault(r.trade_date, set()).add(r.symbol)
     assert got == {DAYS[0]: {0, 1}, DAYS[1]: {1, 3}, DAYS[2]: {1, 3}}
 
