@@ -32,6 +32,25 @@ def newey_west(values: Sequence[float], lag: int | None = None, least_lag: int =
     return {"n": n, "mean": mean, "error": error, "t": t, "p": math.erfc(abs(t) / math.sqrt(2)) if error > 0 else math.nan, "lag": lag}
 
 
+def newey_west_of(series: DataFrame, value: str, date: str, lag: int | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """n, mean, error, t, lag of each group's series, as ``newey_west``: a row a date, and lagged sums in one window.
+
+    lag: fixed, or by the length of the series, up to 24 lags. Series of fewer than two values have no error.
+    """
+    most = 24 if lag is None else lag
+    each = Window.partitionBy(*group)
+    full = series.withColumn("_x", R.clean(value)).filter("_x is not null")
+    e = full.withColumn("_e", F.col("_x") - F.avg("_x").over(each))
+    order = each.orderBy(date)
+    lagged = e.select(*group, "_x", "_e", *(F.lag("_e", k).over(order).alias(f"_l{k}") for k in range(1, most + 1)))
+    sums = lagged.groupBy(*group).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.sum(F.col("_e") * F.col("_e")).alias("_s0"), *(F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_s{k}") for k in range(1, most + 1)))
+    wanted = F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9))) if lag is None else F.lit(lag)
+    sums = sums.withColumn("lag", F.when(F.col("n") < 2, 0).otherwise(F.least(F.col("n") - 1, wanted, F.lit(most))).cast("long"))
+    weighted = sum((F.when(F.col("lag") >= k, (1 - k / (F.col("lag") + 1)) * F.col(f"_s{k}")).otherwise(0.0) for k in range(1, most + 1)), F.lit(0.0))
+    error = F.when(F.col("n") >= 2, F.sqrt(F.greatest(F.col("_s0") + 2 * weighted, F.lit(0.0))) / F.col("n"))
+    return sums.withColumn("error", error).select(*group, "n", "mean", "error", R.ratio("mean", F.nullif(F.col("error"), F.lit(0.0))).alias("t"), "lag")
+
+
 def holm(p_values: Sequence[float]) -> list[float]:
     """Step-down adjusted p values, in the order given."""
     n, out, worst = len(p_values), [0.0] * len(p_values), 0.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import recipes as R
-from loomspark.operators.panel import PANEL, Panel, calendar, keep_one
+from loomspark.operators.panel import PANEL, Panel, calendar, keep_one, require
 
 #: Bytes of a right side that is broadcast in an as-of join without keys.
 SMALL = 32 << 20
@@ -47,11 +47,17 @@ def context_as_of(panel_frame: DataFrame, context: DataFrame, features: Sequence
 
 
 def interval_member(df: DataFrame, members: DataFrame, start: str, end: str, value: str, panel: Panel = PANEL) -> DataFrame:
-    """The value of the interval that holds each date; of several that which began last; an open end holds for ever."""
-    holds = (F.col(panel.date) >= F.col(start)) & (F.col(panel.date) <= F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")))
-    pairs = df.select(*panel.keys).distinct().join(members.select(panel.entity, start, end, value), panel.entity).filter(holds)
-    latest = pairs.groupBy(*panel.keys).agg(F.max_by(value, F.struct(start, value)).alias(value))
-    return df.join(latest, panel.keys, "left")
+    """The value of the interval that holds each date; of several that which began last, and of those the greatest; an
+    open end holds for ever.
+
+    Intervals alone are cut where any of their entity begins or has ended, and each row looks up the last cut before it.
+    """
+    until = F.date_add(F.coalesce(F.col(end), F.lit("9999-12-30").cast("date")), 1)
+    own = members.filter(F.col(start).isNotNull() & (F.col(start) < until)).select(panel.entity, F.col(start).alias("_a"), until.alias("_b"), F.col(value).alias("_v"))
+    cuts = own.select(panel.entity, F.explode(F.array("_a", "_b")).alias("_cut")).distinct()
+    holds = cuts.join(own, panel.entity, "left").filter((F.col("_cut") >= F.col("_a")) & (F.col("_cut") < F.col("_b")))
+    latest = holds.groupBy(panel.entity, "_cut").agg(F.max_by("_v", F.struct("_a", "_v")).alias(value))
+    return as_of(df, cuts.join(latest, [panel.entity, "_cut"], "left"), panel.date, "_cut", [panel.entity], [value]).drop("_cut_matched")
 
 
 def universe_as_of(df: DataFrame, universe: DataFrame, rebalance: str, panel: Panel = PANEL) -> DataFrame:
@@ -96,9 +102,21 @@ def period_target(df: DataFrame, entity: str, period: str, available: str, value
 
 
 def compounded_between(periods: DataFrame, returns: DataFrame, start: str, end: str, date: str, value: str, out: str) -> DataFrame:
-    """Each period's compounded return of the dates after its start up to its end."""
-    joined = periods.join(F.broadcast(returns.select(F.col(date).alias("_d"), F.col(value).alias("_v"))), (F.col("_d") > F.col(start)) & (F.col("_d") <= F.col(end)), "left")
-    return joined.groupBy(*periods.columns).agg(R.compounded("_v").alias(out))
+    """Each period's compounded return of the dates after its start up to its end; NULL where no return is known there.
+
+    returns: a row a date, added up along the dates once; a period is the difference of two of those sums.
+    """
+    w = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    known = F.col(value).isNotNull()
+    sums = returns.groupBy(date).agg(F.sum(F.log1p(value)).alias("_x"), F.count(F.when(known, 1)).alias("_c"))
+    sums = sums.select(F.lit(0).alias("_k"), F.col(date).alias("_d"), F.coalesce(F.sum("_x").over(w), F.lit(0.0)).alias("_x"), F.sum("_c").over(w).alias("_c"))
+    asked = periods.select(F.explode(F.array(F.col(start).cast("date"), F.col(end).cast("date"))).alias("_at")).distinct().filter("_at is not null").withColumn("_k", F.lit(0))
+    found = as_of(asked, sums, "_at", "_d", ["_k"], ["_x", "_c"]).select("_at", F.coalesce("_x", F.lit(0.0)).alias("_x"), F.coalesce("_c", F.lit(0)).alias("_c"))  # a row a date
+    for side, column in (("a", start), ("b", end)):
+        one = found.select(F.col("_at").alias(f"_at_{side}"), F.col("_x").alias(f"_x_{side}"), F.col("_c").alias(f"_c_{side}"))
+        periods = periods.join(one, F.col(column).cast("date") == F.col(f"_at_{side}"), "left").drop(f"_at_{side}")
+    total = F.when(F.col("_c_b") > F.col("_c_a"), F.exp(F.col("_x_b") - F.col("_x_a")) - 1)
+    return periods.withColumn(out, total).drop("_x_a", "_x_b", "_c_a", "_c_b")
 
 
 def purge(df: DataFrame, test_start, test_end, embargo_days: int, start: str, end: str) -> DataFrame:
@@ -116,10 +134,19 @@ def latest_vintages(df: DataFrame, as_of_date, entity: str, period: str, availab
 
 def trailing_calendar_stat(df: DataFrame, value: str, months: int, stat: str, least: int, out: str, panel: Panel = PANEL) -> DataFrame:
     """Of the entity's values in the calendar months up to each date: mean, median, std0 or positive_ratio."""
-    old = df.select(F.col(panel.entity).alias("_e"), F.col(panel.date).alias("_d"), F.col(value).alias("_v"))
-    spans = df.select(*panel.keys).distinct().join(old, (F.col(panel.entity) == F.col("_e")) & (F.col("_d") <= F.col(panel.date)) & (F.col("_d") >= F.add_months(panel.date, -months)))
-    of = {"mean": F.avg("_v"), "median": F.median("_v"), "std0": F.stddev_pop("_v"), "positive_ratio": F.avg(F.when(F.col("_v").isNotNull(), (F.col("_v") > 0).cast("double")))}[stat]
-    return df.join(spans.groupBy(*panel.keys).agg(F.when(F.count("_v") >= least, of).alias(out)), panel.keys, "left")
+    over = f"over (partition by `{panel.entity}` order by `{panel.date}` range between interval '{int(months)}' month preceding and current row)"
+    of = {
+        "mean": f"avg(`{value}`) {over}",
+        "median": f"sort_array(collect_list(`{value}`) {over})",
+        "std0": f"stddev_pop(`{value}`) {over}",
+        "positive_ratio": f"avg(cast(`{value}` > 0 as double)) {over}",
+    }[stat]
+    found = df.withColumn("_of", F.expr(of)).withColumn("_n", F.expr(f"count(`{value}`) {over}"))
+    x = F.col("_of")
+    if stat == "median":
+        middle = lambda k: F.get(x, F.floor((F.size(x) - 1 + k) / 2).cast("int"))
+        x = (middle(0) + middle(1)) / 2
+    return found.withColumn(out, F.when(F.col("_n") >= least, x)).drop("_of", "_n")
 
 
 def calendar_growth(df: DataFrame, value: str, months: int, out: str, panel: Panel = PANEL) -> DataFrame:
@@ -130,3 +157,36 @@ def calendar_growth(df: DataFrame, value: str, months: int, out: str, panel: Pan
     years = F.datediff(panel.date, "_then_matched") / F.lit(365.25)
     growth = F.when((F.col(value) > 0) & (F.col("_old") > 0) & (years > 0), F.pow(F.col(value) / F.col("_old"), 1 / years) - 1)
     return joined.withColumn(out, growth).drop("_ask", "_then_matched", "_old")
+
+
+def overlay(df: DataFrame, sources: Sequence[tuple[str, DataFrame, str]], columns: Sequence[str], own: str | None = None, panel: Panel = PANEL) -> DataFrame:
+    """df with each of ``columns`` from the first source that knows it, and where from, as <column>__source and
+    <column>__as_of.
+
+    sources: (name, table, date column) in order of precedence; a table has the entity, the date from which a row is
+    visible, and any of the columns. Each column of a source is its own latest known value at or before the row's date,
+    whatever its other columns know. own: the name of df itself as the last source, if it has the columns; without one
+    its columns of these names are replaced. What no source knows is NULL, as is where from.
+    """
+    mine = [c for c in columns if own and c in df.columns]
+    out = df.withColumnsRenamed({c: f"_own_{c}" for c in columns if c in df.columns})
+    for k, (_, table, visible) in enumerate(sources):
+        there = [c for c in columns if c in table.columns]
+        require(table, [panel.entity, visible])
+        if not there:
+            continue
+        row = lambda c: F.struct(F.col("_at").alias("at"), F.col(c).alias("value"))
+        seen = table.filter(F.col(visible).isNotNull()).select(panel.entity, F.col(visible).cast("date").alias("_at"), *there).groupBy(panel.entity, "_at").agg(*(F.max(c).alias(c) for c in there))
+        h = Window.partitionBy(panel.entity).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        seen = seen.select(panel.entity, "_at", *(F.last(F.when(F.col(c).isNotNull(), row(c)), ignorenulls=True).over(h).alias(f"_s{k}_{c}") for c in there))
+        out = as_of(out, seen, panel.date, "_at", [panel.entity], [f"_s{k}_{c}" for c in there]).drop("_at_matched")
+    for c in columns:
+        found = [F.struct(F.col(f"_s{k}_{c}.value").alias("value"), F.lit(name).alias("source"), F.col(f"_s{k}_{c}.at").alias("at")) for k, (name, table, _) in enumerate(sources) if c in table.columns]
+        known = [F.when(x["value"].isNotNull(), x) for x in found]
+        if c in mine:
+            known.append(F.when(F.col(f"_own_{c}").isNotNull(), F.struct(F.col(f"_own_{c}").alias("value"), F.lit(own).alias("source"), F.col(panel.date).cast("date").alias("at"))))
+        if not known:
+            raise ValueError(f"no source has {c}")
+        out = out.withColumn("_best", F.coalesce(*known)).withColumns({c: F.col("_best.value"), f"{c}__source": F.col("_best.source"), f"{c}__as_of": F.col("_best.at")})
+    helpers = ["_best", *(f"_own_{c}" for c in columns), *(f"_s{k}_{c}" for k in range(len(sources)) for c in columns)]
+    return out.drop(*helpers)

@@ -51,16 +51,16 @@ def triple_barrier(prices: DataFrame, events: DataFrame, horizon: int, profit: f
     profit taken and a loss stopped at once count as profit; at the end the sign of the return decides. Events without
     a price, target or later row get no label.
     """
-    h = panel.history()
-    placed = prices.withColumn("_n", F.row_number().over(h)).select(panel.entity, panel.date, "_n", price)
-    begun = events.filter(F.col("target") > least_target).join(placed.withColumnRenamed(price, "_entry"), panel.keys).withColumnRenamed("_n", "_from")
-    path = placed.select(F.col(panel.entity).alias("_e"), F.col(panel.date).alias("_d"), F.col("_n"), F.col(price).alias("_p"))
-    on = (F.col(panel.entity) == F.col("_e")) & (F.col("_n") > F.col("_from")) & (F.col("_n") <= F.col("_from") + horizon)
-    moves = begun.join(path, on).withColumn("_r", (R.ratio("_p", "_entry") - 1) * F.col("side"))
-    kind = F.when(F.col("_r") >= profit * F.col("target"), "profit_taking").when(F.col("_r") <= -loss * F.col("target"), "stop_loss").when(F.col("_n") == F.col("_from") + horizon, "vertical")
-    first = moves.withColumn("_k", kind).groupBy("event_id", panel.entity, panel.date).agg(
-        F.min_by(F.struct(F.col("_k").alias("barrier"), F.col("_d").alias("touched"), F.col("_r").alias("side_return")), F.when(F.col("_k").isNotNull(), F.col("_n"))).alias("x"),
-    )
+    ahead = panel.history().rowsBetween(1, horizon)
+    paths = prices.select(*panel.keys, F.col(price).alias("_entry"), F.collect_list(F.struct(F.col(panel.date).alias("d"), F.col(price).alias("p"))).over(ahead).alias("_path"))
+    begun = events.filter(F.col("target") > least_target).join(paths, panel.keys)
+
+    def touched(x, k):
+        r = (R.ratio(x["p"], "_entry") - 1) * F.col("side")
+        kind = F.when(r >= profit * F.col("target"), "profit_taking").when(r <= -loss * F.col("target"), "stop_loss").when(k == horizon - 1, "vertical")
+        return F.struct(kind.alias("barrier"), x["d"].alias("touched"), r.alias("side_return"))
+
+    first = begun.withColumn("x", F.get(F.filter(F.transform("_path", touched), lambda x: x["barrier"].isNotNull()), F.lit(0)))
     label = F.when(F.col("barrier") == "profit_taking", 1).when(F.col("barrier") == "stop_loss", -1).when(F.col("barrier") == "vertical", F.signum("side_return").cast("int"))
     return first.select("event_id", panel.entity, panel.date, "x.*").withColumn("label", label).filter("barrier is not null")
 

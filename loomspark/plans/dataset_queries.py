@@ -64,7 +64,25 @@ l AS (SELECT e, x, lag(e, 1) OVER (ORDER BY k) AS e1, lag(e, 2) OVER (ORDER BY k
 m AS (SELECT count(*) AS n, avg(x) AS mean, sqrt(greatest(0, sum(e * e) + 1.5 * sum(e * e1) + 1.0 * sum(e * e2) + 0.5 * sum(e * e3))) / count(*) AS error FROM l)
 SELECT n, {r6('mean')}, {r6('error')}, {r6('mean / error', 't')}, CAST(3 AS BIGINT) AS lag FROM m""")
 def mean_inference(spark, d):
-    values = [r.x for r in series(spark, d).orderBy("trade_date").select("x").collect()]  # a value a date
-    found = inf.newey_west(values, lag=3)
-    row = spark.createDataFrame([(found["n"], found["mean"], found["error"], found["t"], found["lag"])], "n long, mean double, error double, t double, lag long")
-    return rounded(row, "n", "mean", "error", "t", "lag")
+    return rounded(inf.newey_west_of(series(spark, d), "x", "trade_date", 3), "n", "mean", "error", "t", "lag")
+
+
+#: Each column of the corrected reports by its own latest known value, else of the first reports, else the panel's own.
+OVERLAY_SQL = f"""{PANEL_SQL}, p AS (SELECT symbol, trade_date, pb, turnover FROM panel),
+late AS (SELECT symbol, trade_date + 40 AS since, CASE WHEN n_lines % 2 = 0 THEN pb END AS pb, CASE WHEN n_lines % 3 = 0 THEN turnover END AS turnover FROM panel),
+early AS (SELECT symbol, trade_date + 3 AS since, CASE WHEN n_lines % 2 = 1 THEN pb + 1 END AS pb FROM panel)"""
+
+
+def _seen_sql(source: str, column: str) -> str:
+    return f"(SELECT max_by(struct_pack(v := {column}, a := since), since) FROM {source} s WHERE s.symbol = p.symbol AND s.since <= p.trade_date AND s.{column} IS NOT NULL)"
+
+
+@query(f"""WITH {OVERLAY_SQL}, x AS (SELECT p.*, {_seen_sql('late', 'pb')} AS lp, {_seen_sql('early', 'pb')} AS ep, {_seen_sql('late', 'turnover')} AS lt FROM p)
+SELECT symbol, trade_date, {r6('coalesce(lp.v, ep.v, pb)', 'pb')}, CASE WHEN lp.v IS NOT NULL THEN 'late' WHEN ep.v IS NOT NULL THEN 'early' WHEN pb IS NOT NULL THEN 'panel' END AS pb__source, CASE WHEN lp.v IS NOT NULL THEN lp.a WHEN ep.v IS NOT NULL THEN ep.a WHEN pb IS NOT NULL THEN trade_date END AS pb__as_of,
+  {r6('coalesce(lt.v, turnover)', 'turnover')}, CASE WHEN lt.v IS NOT NULL THEN 'late' WHEN turnover IS NOT NULL THEN 'panel' END AS turnover__source FROM x""")
+def fundamentals_overlay(spark, d):
+    df = panel(spark, d)
+    late = df.select("symbol", F.date_add("trade_date", 40).alias("at"), F.when(F.col("n_lines") % 2 == 0, F.col("pb")).alias("pb"), F.when(F.col("n_lines") % 3 == 0, F.col("turnover")).alias("turnover"))
+    early = df.select("symbol", F.date_add("trade_date", 3).alias("at"), F.when(F.col("n_lines") % 2 == 1, F.col("pb") + 1).alias("pb"))
+    out = joins.overlay(df.select("symbol", "trade_date", "pb", "turnover"), [("late", late, "at"), ("early", early, "at")], ["pb", "turnover"], own="panel")
+    return rounded(out, "symbol", "trade_date", "pb", "pb__source", "pb__as_of", "turnover", "turnover__source")
