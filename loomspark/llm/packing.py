@@ -159,7 +159,7 @@ def encoder(path: str) -> tuple[pretoken.WordIds, dict[str, int]]:
     words.encode_special_tokens = True
     words.normalizer = normalizers.Sequence([])
     words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return pretoken.WordIds(lambda new: [e.ids for e in words.encode_batch_fast(new, add_special_tokens=False)]), specials
+    return pretoken.WordIds(lambda new: pretoken.encoded_words(words, new)), specials
 
 
 def encoded(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:

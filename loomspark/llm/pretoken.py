@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from tokenizers import Regex
+from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -146,7 +146,8 @@ def pieces_at(joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndar
     code, distinct = pd.factorize(hashes)
     first = np.zeros(len(distinct), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
-    owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    owner = np.repeat(np.arange(len(sizes)), np.diff(edges))
     return Pieces(owner, code, distinct, joined, np.stack([starts[first], ends[first]], 1))
 
 
@@ -217,8 +218,15 @@ def ragged(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(n) + np.repeat(offsets - (total - lengths), lengths)
 
 
+def encoded_words(tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the words end to end, and the number of each word's, by one call of the library."""
+    found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+    return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
+
 class WordIds:
-    """Ids of distinct pieces, kept from batch to batch up to a bound. encode: ids of each of a list of pieces."""
+    """Ids of distinct pieces, kept from batch to batch up to a bound. encode: ids of each of a list of pieces, as
+    lists or as ``encoded_words`` gives them."""
 
     def __init__(self, encode, most: int = 1 << 18):
         self.encode, self.most = encode, most
@@ -236,28 +244,30 @@ class WordIds:
         if len(self.keys) + len(keys) > self.most:
             self.clear()
         at = np.searchsorted(self.keys, keys)
-        there = np.append(self.keys, np.uint64(0))[at] == keys
-        there &= at < len(self.keys)
+        there = (np.append(self.keys, np.uint64(0))[at] == keys) & (at < len(self.keys))
+        found = np.append(self.slots, 0)[at]
         new = np.flatnonzero(~there)
         if len(new):
             new = new[np.argsort(keys[new])]
-            first = len(self.keys)
-            self._add(first, self.encode(pieces.words(new)))
+            found[new] = len(self.keys) + np.arange(len(new))
+            self._add(len(self.keys), self.encode(pieces.words(new)))
             self.keys = np.insert(self.keys, at[new], keys[new])
-            self.slots = np.insert(self.slots, at[new], np.arange(first, first + len(new)))
-            at = np.searchsorted(self.keys, keys)
-        return self.slots[at]
-
-    def _add(self, at: int, ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
+            self.slots = np.insert(self.slots, at[new], found[new])
+        return found
+
+    def _add(self, at: int, ids: list[list[int]] | tuple[np.ndarray, np.ndarray]) -> None:
+        if isinstance(ids, tuple):
+            flat, lengths = ids
+        else:
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < at + len(ids):
+        while len(self.begin) < at + len(lengths):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.length[at : at + len(ids)] = lengths
-        self.begin[at : at + len(ids)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(lengths)] = lengths
+        self.begin[at : at + len(lengths)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
 
 

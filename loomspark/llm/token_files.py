@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import arrow, fresh_path, id_and_text, through_table
+from loomspark.llm.common import arrow, fresh_path, id_and_text, sliced, through_table
 from loomspark.llm.token_counts import TOKENIZER, loaded
 
 MAGIC = b"LTOK"
@@ -163,7 +163,7 @@ class Reader:
 def encoder(path: str) -> tuple[pretoken.WordIds, dict[str, int]]:
     tokenizer, added = loaded(path)
     specials = {t: tokenizer.token_to_id(t) for t in added}
-    return pretoken.WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]), specials
+    return pretoken.WordIds(lambda words: pretoken.encoded_words(tokenizer, words)), specials
 
 
 MANIFEST = pa.schema([("file", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -175,7 +175,8 @@ def write_token_files(docs: DataFrame, directory: str, path: str = TOKENIZER, en
 
     One file for each range of doc_id. Returns the manifest: file (in the ids' order), name, n_docs, n_ids, start
     (ids in the files before it). Only files that the manifest names count: an attempt that was lost leaves
-    another file, of its own name. Null text is empty and has the end id alone; repeated rows are all written.
+    another file, of its own name. Null text is empty and has the end id alone; repeated rows are all written. Long
+    texts are encoded in parts cut between pre-tokens. No rows: no files.
     """
     spark = docs.sparkSession
     bits = bits_for(loaded(path)[0].get_vocab_size(with_added_tokens=True))
@@ -187,13 +188,11 @@ def write_token_files(docs: DataFrame, directory: str, path: str = TOKENIZER, en
         files, root = located(directory)
         files.create_dir(root, recursive=True)
         name, writer = f"{uuid.uuid4().hex}.ids", None
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in pretoken.blocks(texts):
-                if writer is None:
-                    writer = Writer(files.open_output_stream(f"{root}/{name}"), bits)
-                found, sizes = pretoken.encoded(texts[a:b], words, True, specials)
-                writer.add(ids[a:b], np.insert(found, np.cumsum(sizes), end_id), sizes + 1)
+        for batch in sliced(batches):
+            if writer is None:
+                writer = Writer(files.open_output_stream(f"{root}/{name}"), bits)
+            found, sizes = pretoken.encoded_whole(batch.column(1).to_pylist(), words, True, specials)
+            writer.add(batch.column(0).to_pylist(), np.insert(found, np.cumsum(sizes), end_id), sizes + 1)
         if writer:
             writer.close()
             yield arrow({"file": [TaskContext.get().partitionId()], "name": [name], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]}, MANIFEST)
