@@ -158,20 +158,17 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     The ids are the library's without tokens added at the ends; special strings inside a text are one token each.
     decoded: the tokens joined by a blank each, as the library decodes a vocabulary without a decoder. Null text
     counts as empty: no ids, an empty string. Repeated rows and null ids stay; other columns are ignored.
-    No row leaves its partition: every task has the trie of its own words.
+    Long texts are encoded in parts cut between words. No row leaves its partition: every task has the trie of its own
+    words. No rows: no rows.
     """
 
     def encode(batches):
         _, specials, words, table = loaded(path)
         for batch in sliced(batches):
-            texts = batch.column(1).to_pylist()
-            for a, b in pretoken.blocks(texts):
-                ids, sizes = pretoken.encoded(texts[a:b], words, False, specials, cleaned)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                names = table[ids]
-                spans = list(zip(starts.tolist(), ends.tolist()))
-                yield arrow({"doc_id": batch.column(0)[a:b], "n_tokens": sizes, "ids": [ids[i:j].astype("<u4").tobytes() for i, j in spans], "decoded": [" ".join(names[i:j]) for i, j in spans]}, ENCODED)
+            ids, sizes = pretoken.encoded_whole(batch.column(1).to_pylist(), words, False, specials, cleaned)
+            ends = np.cumsum(sizes)
+            spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+            yield arrow({"doc_id": batch.column(0), "n_tokens": sizes, "ids": [ids[i:j].astype("<u4").tobytes() for i, j in spans], "decoded": [" ".join(table[ids[i:j]]) for i, j in spans]}, ENCODED)
 
     docs = id_and_text(docs).select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, decoded string")
