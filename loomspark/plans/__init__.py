@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.plans import control_queries, dataset_queries, diagnostic_queries, ensemble_queries, event_queries, feature_queries, panel_queries, ranking_queries, selection_queries, validation_queries  # noqa: F401  they register
+from loomspark.plans import control_queries, dataset_queries, diagnostic_queries, ensemble_queries, event_queries, feature_queries, memory_queries, panel_queries, ranking_queries, selection_queries, validation_queries  # noqa: F401  they register
 from loomspark.plans.registry import QUERIES, SQL
 
 
