@@ -45,6 +45,8 @@ def cpcv_splits(spark, d):
     return cpcv.splits(cpcv.roles(dates(panel(spark, d)), PLAN), PLAN)
 
 
+#: A thousandth of the panel's returns, which are too large to be compounded over years.
+SMALL = FWD.replace("/ close - 1 END AS fwd", "/ close - 1 END * 0.001 AS fwd")
 FITS_SQL = """sums AS (SELECT trade_date, count(*) AS n, sum(pb) AS x, sum(turnover) AS y, sum(fwd) AS t, sum(pb * pb) AS xx, sum(pb * turnover) AS xy, sum(turnover * turnover) AS yy, sum(pb * fwd) AS xt, sum(turnover * fwd) AS yt FROM f WHERE pb IS NOT NULL AND turnover IS NOT NULL AND fwd IS NOT NULL GROUP BY 1),
 total AS (SELECT split_id, sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(t) AS t, sum(xx) - sum(x) * sum(x) / sum(n) + 0.1 AS a, sum(xy) - sum(x) * sum(y) / sum(n) AS b, sum(yy) - sum(y) * sum(y) / sum(n) + 0.1 AS c, sum(xt) - sum(x) * sum(t) / sum(n) AS p, sum(yt) - sum(y) * sum(t) / sum(n) AS q FROM (SELECT split_id, trade_date FROM roles WHERE role = 'train') JOIN sums USING (trade_date) GROUP BY 1),
 slopes AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS b1, (q * a - p * b) / (a * c - b * b) AS b2 FROM total),
@@ -58,7 +60,7 @@ def cpcv_ridge_fits(spark, d):
     return rounded(fits.withColumn("pb", F.element_at("coefficients", 1)).withColumn("turnover", F.element_at("coefficients", 2)), "split_id", "n", "intercept", "pb", "turnover")
 
 
-AUDIT_SQL = f"""RECURSIVE {FWD}, {ROLES_SQL}, {PATHS_SQL}, {FITS_SQL}, s AS (SELECT path_id, trade_date, symbol, round(b0 + b1 * pb + b2 * turnover, 10) AS pred, fwd FROM f JOIN tested USING (trade_date) JOIN fits USING (split_id) WHERE pb IS NOT NULL AND turnover IS NOT NULL),
+AUDIT_SQL = f"""RECURSIVE {SMALL}, {ROLES_SQL}, {PATHS_SQL}, {FITS_SQL}, s AS (SELECT path_id, trade_date, symbol, round(b0 + b1 * pb + b2 * turnover, 13) AS pred, fwd FROM f JOIN tested USING (trade_date) JOIN fits USING (split_id) WHERE pb IS NOT NULL AND turnover IS NOT NULL),
 {ranked_sql('pred', 'fwd', 's', 'path_id, trade_date')}, ic AS (SELECT path_id, trade_date, {corr_sql('a', 'b')} AS ic FROM rk GROUP BY 1, 2 HAVING count(DISTINCT y) >= 2 AND {corr_sql('a', 'b')} IS NOT NULL),
 ics AS (SELECT path_id, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_pop(ic), 0) AS ic_ir FROM ic GROUP BY 1),
 r AS (SELECT *, count(*) OVER (PARTITION BY path_id, trade_date) AS n, row_number() OVER (PARTITION BY path_id, trade_date ORDER BY pred, symbol) AS k FROM s WHERE fwd IS NOT NULL),
@@ -71,11 +73,11 @@ audit AS (SELECT * FROM performance JOIN ls USING (path_id) LEFT JOIN ics USING
 
 def ridge_audit(spark, d):
     """As cpcv.audit, with predictions rounded so that ties do not depend on how sums were added up."""
-    df = forward(spark, d)
+    df = forward(spark, d).withColumn("fwd", F.col("fwd") * 0.001)
     found = cpcv.roles(dates(df), PLAN)
     paths = cpcv.tested(found, PLAN)
     scored = cpcv.scores(df, paths, cpcv.ridge_of_splits(df, found, ["pb", "turnover"], "fwd", 0.1), ["pb", "turnover"], "fwd")
-    return cpcv.path_results(scored.withColumn("pred", F.round("pred", 10)), paths)
+    return cpcv.path_results(scored.withColumn("pred", F.round("pred", 13)), paths)
 
 
 @query(f"WITH {AUDIT_SQL} SELECT path_id, array_to_string(ids, '|') AS split_ids, test_start, test_end, observations, {r6('total_return')}, {r6('ann_return')}, {r6('ann_vol')}, {r6('sharpe')}, {r6('max_drawdown')}, {r6('long_short')}, {r6('ic_mean')}, {r6('ic_ir')} FROM audit")
