@@ -2,11 +2,11 @@
 
 Documents of equal text are a group and share a shard. Placing is greedy and works on a bounded number of units:
 each group of over 1 / ``LARGE`` of any total is a unit of its own (there are at most 3 * LARGE of them), and all
-others are dealt into ``CELLS`` cells by their text's digest. A group of more than ``SPLIT`` of a total is itself
-dealt into parts, as no placing of the whole could keep shards even.
+others are dealt into ``CELLS`` cells by their text's digest. A group of more than a shard's capacity is itself dealt
+into parts of half of it at most; any other stays whole.
 
-Units go, largest first, where the dot product of their size with the residual capacity is highest. Law: ``bytes``.
-Bytes weigh most in the product, and units of small cells come last and level what is left.
+Units go, largest first, where the dot product of their size with the residual capacity is highest, also where none has
+room any more. Law: ``bytes``, which weigh most; units of small cells come last and level what is left of all three.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from loomspark.llm.common import through_table
 
 CELLS = 1 << 13
 LARGE = 1 << 12
-SPLIT = 1 / 32
 #: Rows of a unit that are numbered in one window, on average at most: units of more are numbered in salted parts.
 NUMBERED = 1 << 20
 #: Weights of bytes, tokens and rows in the dot product.
@@ -30,7 +29,7 @@ def placed(sizes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each unit; sizes: bytes, tokens and rows of each as shares of the totals.
 
     Of the shards with room for a unit in every dimension, that of the highest dot product is taken; where none
-    has room, the same among all, so that the fullest shards are left alone. Ties go to the lowest shard.
+    has room, the same among all. Ties go to the lowest shard.
     """
     out = np.zeros(len(sizes), np.int64)
     residual = np.full((shards, 3), 1 / shards)
@@ -38,7 +37,7 @@ def placed(sizes: np.ndarray, shards: int) -> np.ndarray:
     for i in np.lexsort((np.arange(len(sizes)), -sizes[:, 0])):
         score = residual @ (weights * sizes[i])
         fits = (residual >= sizes[i] - 1e-12).all(1)
-        out[i] = k = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else residual[:, 0]))
+        out[i] = k = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
         residual[k] -= sizes[i]
     return out
 
@@ -48,7 +47,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     size: UTF-8 bytes of the text plus 1; null text has none and is a group of its own, apart from the empty text.
     slot: 0, 1, 2 … within a shard, without gaps. grown_shard is null, as the law is ``bytes``. Repeated rows and
-    ids each have a slot; empty input gives no rows; other columns are ignored.
+    ids each have a slot; empty input gives no rows; other columns are ignored. Texts of any length are read for their
+    size and digest alone. Groups over a shard's capacity, 1 / shards of a total, are split; all others stay whole.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -67,7 +67,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     totals = [max(1, x) for x in total]
     share = F.greatest(*(F.col(c) / F.lit(float(t)) for c, t in zip(("size", "tokens", "n"), totals)))
-    large = groups.filter(share > 1 / LARGE).select("digest", share.alias("share"), F.ceil(share / SPLIT).cast("int").alias("parts"))
+    large = groups.filter(share > 1 / LARGE).select("digest", share.alias("share"), F.when(share > 1 / shards, F.ceil(share * (2 * shards)).cast("int")).otherwise(1).alias("parts"))
     large = large.select("digest", "parts", F.hex("digest").alias("name"))  # at most 3 * LARGE rows, by their share
     # a unit: a part of a large group, or a cell of others
     part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts").cast("long"))

@@ -28,6 +28,11 @@ def test_documents(spark):
         sizes[r.shard] += r.size
         shard[r.doc_id] = r.shard
     assert max(sizes.values()) - min(sizes.values()) < 0.001 * sum(sizes.values())
+    rows_of_shard, words = Counter(shard.values()), Counter()
+    for i, t in rows:
+        words[shard[i]] += (t or "").count(" ") + 1
+    for found in (sizes, rows_of_shard, words):  # within five thousandths of a shard
+        assert max(found.values()) - min(found.values()) < 0.005 / 8 * sum(found.values()) + 1
     by_text = defaultdict(set)
     for i, t in rows:
         by_text[t].add(shard[i])
@@ -49,6 +54,32 @@ def test_hot_group_is_split(spark):
     assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
+def test_groups_that_fit_a_shard_stay_whole_and_shards_are_even_in_all_three(spark):
+    rows = [(i, "same text of many words " * 9 if i % 10 == 0 else f"text {i} " * (1 + i % 40)) for i in range(9000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
+    text, sums = dict(rows), defaultdict(lambda: np.zeros(3))
+    for r in got:
+        sums[r.shard] += [r.size, text[r.doc_id].count(" ") + 1, 1]
+    assert len({r.shard for r in got if r.doc_id % 10 == 0}) == 1
+    full = np.array(list(sums.values()))
+    assert (full.max(0) - full.min(0) < np.array([0.002, 0.03, 0.03]) * full.mean(0)).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_placing_by_the_definition(seed):
+    r = np.random.default_rng(seed)
+    sizes = r.pareto(1.5, (300, 3)) + 0.01
+    sizes /= sizes.sum(0)
+    room, want = [[1 / 8] * 3 for _ in range(8)], {}
+    for i in sorted(range(300), key=lambda i: (-sizes[i][0], i)):
+        dot = [sum(w * s * x for w, s, x in zip(sharding.WEIGHTS, sizes[i], room[k])) for k in range(8)]
+        fits = [k for k in range(8) if all(x >= s - 1e-12 for x, s in zip(room[k], sizes[i]))] or range(8)
+        want[i] = k = max(fits, key=lambda k: (dot[k], -k))
+        room[k] = [x - s for x, s in zip(room[k], sizes[i])]
+    assert sharding.placed(sizes, 8).tolist() == [want[i] for i in range(300)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_placing(seed):
     r = np.random.default_rng(seed)
