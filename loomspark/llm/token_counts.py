@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from loomspark.llm import pretoken
-from loomspark.llm.common import arrow, id_and_text, sliced, through_table
+from loomspark.llm.common import arrow, id_and_text, one_core, sliced, through_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Entries of the broadcast part of the vocabulary at most: 12 bytes each.
@@ -28,6 +28,7 @@ HEAD = 1 << 18
 @cache
 def loaded(path: str) -> tuple[Tokenizer, tuple[str, ...]]:
     """A tokenizer that takes each text as one pre-token, and the strings of the file's added tokens."""
+    one_core()
     whole = Tokenizer.from_file(path)
     added = tuple(sorted(t.content for t in whole.get_added_tokens_decoder().values()))
     whole.encode_special_tokens = True
@@ -37,8 +38,8 @@ def loaded(path: str) -> tuple[Tokenizer, tuple[str, ...]]:
     return whole, added
 
 
-def piece_counts(words: list[str], path: str) -> list[int]:
-    return [len(e) for e in loaded(path)[0].encode_batch_fast(words, add_special_tokens=False)]
+def piece_counts(words: list[str], path: str) -> np.ndarray:
+    return pretoken.encoded_words(loaded(path)[0], words)[1] if words else np.zeros(0, np.int64)
 
 
 VOCABULARY = pa.schema([("pretoken", pa.string()), ("freq", pa.int64())])
@@ -52,9 +53,8 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     def distinct(batches):
         specials = loaded(path)[1]
         for batch in sliced(batches):
-            texts = batch.column(0).to_pylist()
-            for a, b in pretoken.blocks(texts):
-                found = pretoken.split(pretoken.cut_specials(texts[a:b], specials)[0], True)
+            for _, texts in pretoken.part_blocks(batch.column(0).to_pylist()):
+                found = pretoken.split(pretoken.cut_specials(texts, specials)[0], True)
                 yield arrow({"pretoken": found.words(), "freq": np.bincount(found.code, minlength=len(found.hashes))}, VOCABULARY)
 
     def count(batches):
@@ -95,7 +95,8 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = 512, head:
 
     n_tokens is what the library's encoder gives without tokens added at the ends; special strings inside a text
     are one token each. Null text counts as empty: 0 bytes, 0 tokens. Equal rows stay as many rows, a null doc_id
-    stays null, and columns of other names are ignored.
+    stays null, and columns of other names are ignored. Long texts are counted in parts cut between pre-tokens. No rows:
+    no rows.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs)
@@ -107,10 +108,14 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = 512, head:
         keys, pieces = shared.value
         specials = loaded(path)[1]
         for batch in sliced(batches):
-            ids, all_texts = batch.column(0), batch.column(1).to_pylist()
-            digests = batch.column(2)
-            for a, b in pretoken.blocks(all_texts):
-                texts = all_texts[a:b]
+            whole = batch.column(1).to_pylist()
+            empty = [k for k, t in enumerate(whole) if not t]
+            told = np.zeros(len(whole), bool)
+            for rows, texts in [(empty, [""] * len(empty)), *pretoken.part_blocks(whole)]:
+                ids, digests = (batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 2))
+                # a text's size is told with the first of its parts
+                sizes = [None if told[r] or k and rows[k - 1] == r else len(whole[r].encode()) for k, r in enumerate(rows)]
+                told[rows] = True
                 cut, owner, after = pretoken.cut_specials(texts, specials)
                 found = pretoken.split(cut, True)
                 hashes = found.hashes.view(np.int64)
@@ -121,7 +126,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = 512, head:
                 total = np.bincount(of, weights=number[found.code], minlength=len(texts)).astype(np.int64) if len(of) else np.zeros(len(texts), np.int64)
                 np.add.at(total, owner[list(after)], 1) if after else None
                 n = len(texts)
-                yield arrow({"doc_id": ids[a:b], "n_bytes": [len(t.encode()) for t in texts], "digest": digests[a:b], "n_known": total, "pretoken": pa.nulls(n, pa.string()), "freq": pa.nulls(n, pa.int64())}, PARTS)
+                yield arrow({"doc_id": ids, "n_bytes": sizes, "digest": digests, "n_known": total, "pretoken": pa.nulls(n, pa.string()), "freq": pa.nulls(n, pa.int64())}, PARTS)
                 rare = ~known[found.code]
                 pairs, freq = np.unique(of[rare] * len(hashes) + found.code[rare], return_counts=True)
                 who, which = pairs // max(1, len(hashes)), pairs % max(1, len(hashes))
@@ -129,7 +134,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = 512, head:
                 n = len(pairs)
                 if n:
                     strings = pa.array(found.words(spelt), pa.string()).take(pa.array(back))
-                    yield arrow({"doc_id": ids[a:b].take(pa.array(who)), "n_bytes": pa.nulls(n, pa.int64()), "digest": digests[a:b].take(pa.array(who)), "n_known": pa.nulls(n, pa.int64()), "pretoken": strings, "freq": freq}, PARTS)
+                    yield arrow({"doc_id": ids.take(pa.array(who)), "n_bytes": pa.nulls(n, pa.int64()), "digest": digests.take(pa.array(who)), "n_known": pa.nulls(n, pa.int64()), "pretoken": strings, "freq": freq}, PARTS)
 
     # equal rows of one id count together: each has the same tokens
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"))
