@@ -281,38 +281,60 @@ def stationarity(df: DataFrame, column: str, lags: int = 1, least_window: int |
 
 
 def adf_t_by_start(x: np.ndarray, least_window: int, lags: int = 1) -> np.ndarray:
-    """``adf_t`` of x[k:] for each k that leaves a least window; x has no missing values.
+    """``adf_t`` of x[k:] for each k that leaves a least window; x has no missing values."""
+    found = [t[0] for t in _adf_t_of_ends(x, least_window, lags, max(len(x), least_window))]
+    return found[0] if found else np.full(0, math.nan)
 
-    Sums of products from each beginning on give all regressions at once; those that are nearly singular or leave
-    nearly nothing are done one by one.
-    """
-    starts = len(x) - least_window + 1
-    dx = np.diff(x)
-    n = len(dx) - lags - np.arange(max(0, starts))
-    if starts < 1 or n[0] <= lags + 2:
-        return np.full(max(0, starts), math.nan)
-    columns = [x[lags:-1] - x.mean(), np.ones(n[0]), *(dx[lags - k : len(dx) - k] for k in range(1, lags + 1)), dx[lags:]]
-    a = np.column_stack(columns)
-    sums = np.cumsum((a[:, :, None] * a[:, None, :])[::-1], axis=0)[::-1]
-    out = np.full(starts, math.nan)
-    enough = np.flatnonzero(n > lags + 2)
-    g, xy, yy = sums[enough, :-1, :-1], sums[enough, :-1, -1], sums[enough, -1, -1]
-    scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 1e-300))
-    unit = g / scale[:, :, None] / scale[:, None, :]
-    sound = np.linalg.det(unit) > 1e-7
-    inverse = np.linalg.inv(np.where(sound[:, None, None], unit, np.eye(g.shape[1])))
-    beta = (inverse @ (xy / scale)[:, :, None])[:, :, 0]
-    left = yy - (beta * xy / scale).sum(1)
-    sound &= left > 1e-7 * yy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = beta[:, 0] / np.sqrt(left / (n[enough] - g.shape[1]) * inverse[:, 0, 0])
-    out[enough] = t
-    for k in enough[~sound].tolist():
-        out[k] = adf_t(x[k:], lags)
-    return out
 
+def _adf_t_of_ends(x: np.ndarray, least_window: int, lags: int, first: int):
+    """``adf_t`` of x[k:end] for ends from ``first`` on, some ends at a time: arrays of ends by beginnings k.
 
-def sup_adf(df: DataFrame, column: str, least_window: int, lags: int = 1, block: int = 64, panel: Panel = PANEL) -> DataFrame:
+    Sums of products from each beginning on go from end to end, so that no regression adds up its rows again. The
+    constant and the lagged changes are eliminated from them for all beginnings and ends of an array at once; what is
+    nearly singular or leaves nearly nothing is done one by one.
+    """
+    if first > len(x):
+        return
+    width, dx = lags + 2, np.diff(x)
+    rows = [np.ones(max(0, len(dx) - lags)), *(dx[lags - k : len(dx) - k] for k in range(1, lags + 1)), x[lags:-1] - x.mean(), dx[lags:]]
+    at = [(i, j) for i in range(width + 1) for j in range(max(1, i), width + 1)]
+    products = np.array([rows[i] * rows[j] for i, j in at]) if len(dx) > lags else np.zeros((len(at), 0))
+    most = max(1, min(16, least_window - lags - 1))  # more ends at a time would reach beyond the sums of the latest beginnings
+    sums = np.zeros((len(at), len(x)))  # by beginning, of the rows before the next one
+    done = max(0, first - 2 - lags)
+    sums[:, :done] = np.cumsum(products[:, :done][:, ::-1], axis=1)[:, ::-1]
+    for end in range(first, len(x) + 1, most):
+        ends = np.arange(end, min(end + most, len(x) + 1))
+        starts, fresh = int(ends[-1]) - least_window + 1, products[:, done : max(0, int(ends[-1]) - 1 - lags)]
+        added = np.cumsum(fresh, axis=1) if fresh.shape[1] == len(ends) else np.zeros((len(at), len(ends)))
+        g = dict(zip(at, sums[:, None, :starts] + added[:, :, None]))
+        n = ends[:, None] - 1 - lags - np.arange(starts)[None, :]
+        asked = (np.arange(starts)[None, :] <= ends[:, None] - least_window) & (n > lags + 2)
+        g[0, 0] = n.astype(float)
+        whole = [g[k, k] for k in range(width + 1)]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            for k in range(width - 1):
+                share = {j: g[k, j] / g[k, k] for j in range(k + 1, width + 1)}
+                for i in range(k + 1, width + 1):
+                    for j in range(i, width + 1):
+                        g[i, j] = g[i, j] - share[i] * g[k, j]
+            level, both = g[width - 1, width - 1], g[width - 1, width]
+            left = g[width, width] - both * both / level
+            varied = level / np.maximum(whole[width - 1], 1e-300)
+            for k in range(1, width - 1):
+                varied = varied * (g[k, k] / np.maximum(whole[k], 1e-300))
+            t = both / np.sqrt(left / (n - width) * level)
+            sound = (varied > 1e-7) & (level > 0) & (left > 1e-7 * whole[width])
+        t = np.where(asked & sound, t, math.nan)
+        for e, k in np.argwhere(asked & ~sound).tolist():
+            t[e, k] = adf_t(x[k : int(ends[e])], lags)
+        yield t
+        sums[:, :done] += added[:, -1:]
+        sums[:, done : done + fresh.shape[1]] = np.cumsum(fresh[:, ::-1], axis=1)[:, ::-1]
+        done += fresh.shape[1]
+
+
+def sup_adf(df: DataFrame, column: str, least_window: int, lags: int = 1, block: int = 1024, panel: Panel = PANEL) -> DataFrame:
     """entity, date, sadf: for each end date from the least window on, the greatest ADF t over all beginnings.
 
     Missing values are left out before. A task has a block of an entity's end dates, and its history up to them.
@@ -321,18 +343,14 @@ def sup_adf(df: DataFrame, column: str, least_window: int, lags: int = 1, block:
     known = df.select(panel.entity, panel.date, column).filter(F.col(column).isNotNull() & ~F.isnan(column))
     known = known.withColumns({"_n": F.row_number().over(panel.history()), "_all": F.count(F.lit(1)).over(Window.partitionBy(panel.entity))})
     blocks = F.sequence(F.floor((F.col("_n") - 1) / block), F.floor((F.col("_all") - 1) / block))
-    spread = known.withColumn("_block", F.explode(blocks))
+    spread = known.withColumn("_block", F.explode(blocks)).drop("_all")
 
     def compute(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n")
-        x, b = group[column].to_numpy(float), int(group["_block"].iloc[0])
-        ends = range(max(b * block + 1, least_window), len(x) + 1)
-        values = []
-        for end in ends:
-            t = adf_t_by_start(x[:end], least_window, lags)
-            values.append(np.nanmax(t) if not np.isnan(t).all() else math.nan)
-        at = [e - 1 for e in ends]
-        return pd.DataFrame({panel.entity: group[panel.entity].to_numpy()[at], panel.date: group[panel.date].to_numpy()[at], "sadf": values})
+        x, order = group[column].to_numpy(float), np.argsort(group["_n"].to_numpy())
+        x, first = x[order], max(int(group["_block"].iloc[0]) * block + 1, least_window)
+        values = [np.where(np.isnan(t), -np.inf, t).max(axis=1) for t in _adf_t_of_ends(x, least_window, lags, first)]
+        sadf, at = np.concatenate([np.zeros(0), *values]), order[first - 1 :]
+        return pd.DataFrame({panel.entity: group[panel.entity].to_numpy()[at], panel.date: group[panel.date].to_numpy()[at], "sadf": np.where(sadf == -np.inf, math.nan, sadf)})
 
     types = {c: df.schema[c].dataType.simpleString() for c in (panel.entity, panel.date)}
     found = spread.groupBy(panel.entity, "_block").applyInPandas(compute, f"{panel.entity} {types[panel.entity]}, {panel.date} {types[panel.date]}, sadf double")
