@@ -10,7 +10,7 @@ from loomspark.operators import joins
 from loomspark.plans.diagnostic_queries import FWD, SERIES_SQL, forward, ranked_sql, series
 from loomspark.plans.event_queries import CONTEXT_SQL, REPORTS_SQL, context, reports
 from loomspark.plans.panel_queries import BOTTOM
-from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, pct_sql, query, r6, rounded
+from loomspark.plans.registry import PANEL_SQL, by_date, corr_sql, panel, pct_sql, query, r6, rounded
 
 
 @query(f"""WITH {PANEL_SQL}, v AS (SELECT *, CASE WHEN pb > 0 THEN 1 / pb END AS i FROM panel) SELECT symbol, trade_date, {r6(pct_sql('i'), 'pb_rank')}, i IS NOT NULL AS pb_observed, {r6('avg(CAST(i IS NOT NULL AS INT)) OVER (PARTITION BY trade_date)', 'pb_coverage')} FROM v""")
@@ -64,5 +64,5 @@ def recent_slices(spark, d):
 
 @query(f"""WITH {FWD}, g AS (SELECT *, lead(fwd, 10) OVER (PARTITION BY symbol ORDER BY trade_date) AS far FROM f), {ranked_sql('pb', 'far', 'g')}, i AS (SELECT trade_date, {corr_sql('a', 'b')} AS ic FROM rk GROUP BY 1 HAVING count(DISTINCT y) >= 2 AND {corr_sql('a', 'b')} IS NOT NULL) SELECT count(*) AS n, {r6('avg(ic)', 'mean')}, {r6('stddev_pop(ic)', 'std')} FROM i""")
 def negative_control_shift(spark, d):
-    df = ft.shifted_target(forward(spark, d), "fwd", 10)
+    df = by_date(spark, d, ft.shifted_target(forward(spark, d), "fwd", 10).select("symbol", "trade_date", "pb", "shifted_target"))
     return rounded(dg.summarize_ic(dg.daily_ic(df, "pb", "shifted_target")), "n", "mean", "std")

@@ -4,8 +4,11 @@ import math
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from loomspark.operators import diagnostics as dg
 from loomspark.operators import time_series as ts
+from loomspark.plans import diagnostic_queries, registry
 
 
 def test_sup_adf_adds_up_no_row_again_for_each_end():
@@ -17,3 +20,21 @@ def test_sup_adf_adds_up_no_row_again_for_each_end():
     for end in (40, 41, 55, 56, 57, 300):
         want = max(ts.adf_t(x[k:end]) for k in range(end - 39))
         assert math.isclose(found[end - 40], want, rel_tol=1e-6)
+
+
+def test_dates_are_dealt_to_tasks_by_the_number_of_lines(spark):
+    """A task of ranks by date has whole dates, and not more lines the larger the table is."""
+    d = "/root/testdata/sf0.1"
+    for df in (registry.panel(spark, d), diagnostic_queries.forward(spark, d)):
+        tasks = df.groupBy("trade_date").agg(F.countDistinct(F.spark_partition_id()).alias("n"), F.min(F.spark_partition_id()).alias("task"), F.sum("n_lines").alias("lines"))
+        per_task = tasks.groupBy("task").agg(F.max("n").alias("n"), F.sum("lines").alias("lines")).collect()
+        assert max(r.n for r in per_task) == 1
+        assert max(r.lines for r in per_task) < 2 * registry.LINES_OF_TASK
+
+
+def test_bucket_of_values_counts_different_values_without_nulls(spark):
+    rows = [(k, "a", v) for k, v in enumerate([1.0, 1.0, 2.0, None])] + [(k, "b", v) for k, v in enumerate([1.0, 2.0, 3.0])] + [(0, "c", None)]
+    df = spark.createDataFrame(rows, "symbol int, trade_date string, v double")
+    found = dg.quantile_bucket(df.filter("trade_date <> 'c'"), "v", 3)
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+    assert sorted((r.trade_date, r.symbol, r.bucket) for r in found.collect() if r.bucket is not None) == [("b", 0, 0), ("b", 1, 1), ("b", 2, 2)]
