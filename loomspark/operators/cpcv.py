@@ -168,7 +168,7 @@ def ridge_of_splits(df: DataFrame, found: DataFrame, features: Sequence[str], ta
 def scores(df: DataFrame, paths: DataFrame, fits: DataFrame, features: Sequence[str], target: str, panel: Panel = PANEL) -> DataFrame:
     """path_id, date, entity, pred, target: each row of the panel once in each path that tests its date."""
     days = paths.join(fits, "split_id")  # a row for each path and date
-    rows = df.select(*panel.keys, *(F.col(c).cast("double").alias(c) for c in (*features, target))).dropna(subset=list(features)).join(days, panel.date)
+    rows = df.select(*panel.keys, *(F.col(c).cast("double").alias(c) for c in (*features, target))).dropna(subset=list(features)).join(F.broadcast(days), panel.date)
     pred = sum((F.col(c) * F.element_at("coefficients", k) for k, c in enumerate(features, 1)), F.col("intercept"))
     return rows.select("path_id", *panel.keys, pred.alias("pred"), F.col(target).alias("target"))
 

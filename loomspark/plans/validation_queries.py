@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import calibration, cpcv
 from loomspark.plans.diagnostic_queries import FWD, SERIES_SQL, forward, ranked_sql, series
-from loomspark.plans.registry import PANEL_SQL, corr_sql, panel, query, r6, rounded
+from loomspark.plans.registry import PANEL_SQL, by_date, corr_sql, panel, query, r6, rounded
+from loomspark.sources.checkpoints import through_table
 
 PLAN = cpcv.Plan(6, 2, embargo_days=10)
 
@@ -73,10 +74,12 @@ audit AS (SELECT * FROM performance JOIN ls USING (path_id) LEFT JOIN ics USING
 
 def ridge_audit(spark, d):
     """As cpcv.audit, with predictions rounded so that ties do not depend on how sums were added up."""
-    df = forward(spark, d).withColumn("fwd", F.col("fwd") * 0.001)
-    found = cpcv.roles(dates(df), PLAN)
+    used = forward(spark, d).select("symbol", "trade_date", "pb", "turnover", (F.col("fwd") * 0.001).alias("fwd"))
+    df = through_table(used, "returns")  # read by dates, fits and paths
+    found = through_table(cpcv.roles(dates(df), PLAN), "roles")
     paths = cpcv.tested(found, PLAN)
-    scored = cpcv.scores(df, paths, cpcv.ridge_of_splits(df, found, ["pb", "turnover"], "fwd", 0.1), ["pb", "turnover"], "fwd")
+    fits = through_table(cpcv.ridge_of_splits(df, found, ["pb", "turnover"], "fwd", 0.1), "fits")
+    scored = cpcv.scores(by_date(spark, d, df), paths, fits, ["pb", "turnover"], "fwd")
     return cpcv.path_results(scored.withColumn("pred", F.round("pred", 13)), paths)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def through_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the checkpoint folder and read from there by every later step."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, worked out once and read from the checkpoint folder from then on."""
     checkpoint_dir(df.sparkSession)
