@@ -105,13 +105,30 @@ def industry_momentum(df: DataFrame, returns: str, industry: str, n: int, out: s
 
 def hermite_stability(df: DataFrame, activity: str, n: int = 60, least: int = 36, bound: float = 8.0, out: str = "hermite_stability", panel: Panel = PANEL) -> DataFrame:
     """Minus the log of the energy of rolling means of the third and fourth Hermite polynomials of a z-score."""
-    w = panel.last(n)
-    mean, spread = R.rolling(F.avg(activity), w, activity, least), R.rolling(F.stddev_pop(activity), w, activity, least)
-    df = df.withColumn("_z", R.clip(F.when(spread > 0, (F.col(activity) - mean) / spread), -bound, bound))
-    z = F.col("_z")
-    df = df.withColumn("_h3", z * z * z - 3 * z).withColumn("_h4", z * z * z * z - 6 * z * z + 3)
-    m3, m4 = R.rolling(F.avg("_h3"), w, "_h3", least), R.rolling(F.avg("_h4"), w, "_h4", least)
-    return df.withColumn(out, -F.log1p(m3 * m3 / 6 + m4 * m4 / 24)).drop("_z", "_h3", "_h4")
+
+    def means(x: np.ndarray, *of) -> list[np.ndarray]:
+        """Of the known values of each window of n: their means, and those of functions of them and the mean."""
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+        there = ~np.isnan(rows)
+        count = there.sum(1)
+        some = np.maximum(count, 1)
+        base = rows[np.arange(len(rows)), there.argmax(1)]  # equal values leave exactly nothing
+        off = np.where(there, rows - base[:, None], 0.0)
+        mean = off.sum(1) / some
+        out = [base + mean, *(np.where(there, f(off - mean[:, None]), 0.0).sum(1) / some for f in of)]
+        return [np.where(count >= least, v, np.nan) for v in out]
+
+    def compute(x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return x
+        mean, variance = means(x, np.square)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = np.clip(np.where(variance > 0, (x - mean) / np.sqrt(variance), np.nan), -bound, bound)
+        (m3,), (m4,) = means(z * z * z - 3 * z), means(z * z * z * z - 6 * z * z + 3)
+        return -np.log1p(m3 * m3 / 6 + m4 * m4 / 24)
+
+    found = _per_entity(df.select(*panel.keys, *(c for c in df.columns if c not in panel.keys)), activity, out, compute, panel)
+    return found.select(*df.columns, F.nanvl(out, F.lit(None).cast("double")).alias(out))
 
 
 def true_range(high: str, low: str, close: str, panel: Panel = PANEL) -> Column:

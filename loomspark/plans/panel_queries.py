@@ -107,7 +107,7 @@ Z = f"CASE WHEN {roll_sql('stddev_pop(volume)', 'volume', 60, 36)} > 0 THEN (vol
 h AS (SELECT *, z * z * z - 3 * z AS h3, z * z * z * z - 6 * z * z + 3 AS h4 FROM c)
 SELECT symbol, trade_date, {r6(f"-ln(1 + power({roll_sql('avg(h3)', 'h3', 60, 36)}, 2) / 6 + power({roll_sql('avg(h4)', 'h4', 60, 36)}, 2) / 24)", 'hermite_stability')} FROM h""")
 def hermite_stability(spark, d):
-    return rounded(ts.hermite_stability(panel(spark, d), "volume"), "symbol", "trade_date", "hermite_stability")
+    return rounded(ts.hermite_stability(panel(spark, d).select("symbol", "trade_date", "volume"), "volume"), "symbol", "trade_date", "hermite_stability")
 
 
 @query(f"""WITH {PANEL_SQL}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER h), abs(low - lag(close) OVER h)) AS tr FROM panel {H})
