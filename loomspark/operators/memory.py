@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import recipes as R
 from loomspark.operators.panel import PANEL, Panel
-from loomspark.operators.time_series import adf_t, fracdiff_weights
+from loomspark.operators.time_series import _adf_t_of_ends, fracdiff_weights
 
+#: Replicates of a group that one task draws.
+SIDE_BY_SIDE = 4
 #: Windows, in dates, over which crowding is measured.
 CROWDING_WINDOWS = (10, 20, 30, 40, 50, 60)
 
@@ -78,30 +80,34 @@ def fractional_order(
     """entity, d, adf_t, correlation, n: the least order of fractional differences that makes each entity's series
     stationary, and how much of the series it keeps.
 
-    Each order is tried in a task of an entity and order; those with fewer than ``least`` values do not count. Where none
+    All orders of an entity are tried in one group; those with fewer than ``least`` values do not count. Where none
     has an ADF t of ``critical`` or below, the one with the least t; entities without a candidate have no row.
     """
     if not d_values:
         raise ValueError("no orders to try")
     orders = sorted(float(d) for d in d_values)
     kind = df.schema[panel.entity].dataType.simpleString()
-    cells = df.select(panel.entity, panel.date, R.clean(column).alias("_x"), F.explode(F.lit(orders)).alias("d"))
+    cells = df.select(panel.entity, panel.date, R.clean(column).alias("_x"))
+    weights = [fracdiff_weights(d, threshold) for d in orders]
 
     def tried(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(panel.date)
-        x, d = group["_x"].to_numpy(float), float(group["d"].iloc[0])
-        w = fracdiff_weights(d, threshold)
-        value = np.full(len(x), np.nan)
-        if len(x) >= len(w):
-            value[len(w) - 1 :] = np.lib.stride_tricks.sliding_window_view(x, len(w)) @ w
-        there = ~np.isnan(x) & ~np.isnan(value)
-        a, b = x[there], value[there]
-        spread = a.std() * b.std() if len(a) else 0.0
-        keeps = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > 0 else None
-        t = adf_t(b, lags) if len(b) >= max(8, lags + 5) else float("nan")
-        return pd.DataFrame({panel.entity: group[panel.entity].iloc[:1], "d": [d], "adf_t": [t], "correlation": [keeps], "n": [len(a)]})
-
-    found = cells.groupBy(panel.entity, "d").applyInPandas(tried, f"{panel.entity} {kind}, d double, adf_t double, correlation double, n long")
+        x, rows = group["_x"].to_numpy(float), []
+        for d, w in zip(orders, weights):
+            value = np.full(len(x), np.nan)
+            if len(x) >= len(w):
+                value[len(w) - 1 :] = np.convolve(x, w[::-1], "valid")
+            there = ~np.isnan(x) & ~np.isnan(value)
+            a, b = x[there], value[there]
+            spread = a.std() * b.std() if len(a) else 0.0
+            keeps = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > 0 else None
+            t = float("nan")
+            if len(b) >= max(8, lags + 5):  # the regression over all of b
+                t = next(_adf_t_of_ends(b, len(b), lags, len(b)))[0, 0]
+            rows.append((group[panel.entity].iloc[0], d, t, keeps, len(a)))
+        return pd.DataFrame(rows, columns=[panel.entity, "d", "adf_t", "correlation", "n"])
+
+    found = cells.groupBy(panel.entity).applyInPandas(tried, f"{panel.entity} {kind}, d double, adf_t double, correlation double, n long")
     found = found.filter(F.col("n") >= least).withColumn("adf_t", F.nanvl("adf_t", F.lit(None).cast("double")))
     stationary = F.coalesce(F.col("adf_t") <= critical, F.lit(False))
     best = F.min_by(F.struct("d", "adf_t", "correlation", "n"), F.struct((~stationary).alias("a"), F.when(~stationary, F.coalesce("adf_t", F.lit(float("inf")))).alias("b"), F.col("d").alias("c")))
@@ -118,27 +124,47 @@ def sequential_bootstrap(events: DataFrame, event: str, start: str, end: str, re
 
     start, end: the first and last bar of each event, whole numbers. A draw's probability is proportional to the mean,
     over the event's bars, of one over one more than the draws so far that cover the bar. length: draws of each
-    replicate, by default as many as the group has events. A replicate of a group is a task of its own; its bars are kept
-    as the ends of intervals, and draws are hashed, so that they are the same whenever they are repeated.
+    replicate, by default as many as the group has events. Some replicates of a group are drawn side by side; its bars
+    are kept as the ends of intervals, and draws are hashed, so that they are the same whenever they are repeated. A draw
+    changes the shares of the events that meet it alone; these are found once.
     """
     each = events.select(*group, event, F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
-    each = each.filter("_a <= _b").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    each = each.filter("_a <= _b").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // SIDE_BY_SIDE))))
 
     def drawn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(event)
-        names, a, b = part[event].tolist(), part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64) + 1
-        key, replicate = [part[g].iloc[0] for g in group], int(part["replicate"].iloc[0])
+        names, a, b = part[event].to_numpy(), part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64) + 1
+        key, begin = [part[g].iloc[0] for g in group], int(part["_part"].iloc[0]) * SIDE_BY_SIDE
         edges = np.unique(np.concatenate([a, b]))  # between two of them all bars are alike
         first, last, width = np.searchsorted(edges, a), np.searchsorted(edges, b), np.diff(edges)
-        draws, chosen = np.zeros(len(width)), []
-        for k in range(len(names) if length is None else length):
-            total = np.concatenate([[0.0], np.cumsum(width / (1 + draws))])
-            share = np.cumsum((total[last] - total[first]) / (b - a))
-            x = min(int(np.searchsorted(share, uniform(seed, *map(str, key), replicate, k) * share[-1], side="right")), len(names) - 1)
-            chosen.append(names[x])
-            draws[first[x] : last[x]] += 1
-        return pd.DataFrame({**{g: [v] * len(chosen) for g, v in zip(group, key)}, "replicate": replicate, "draw": range(len(chosen)), event: chosen})
+        # events by their first bar: those that meet an event are in one range of them, as none is longer than the longest
+        order = np.argsort(first, kind="stable")
+        by_first = first[order]
+        reach = int((last - first).max())
+        low, high = np.searchsorted(by_first, first - reach, side="right"), np.searchsorted(by_first, last)
+        starts, ends = first.tolist(), last.tolist()
+        size, frames = len(names) if length is None else length, []
+        for replicate in range(begin, min(begin + SIDE_BY_SIDE, replicates)):
+            each_bar, draws = width.astype(float), np.zeros(len(width))
+            total = np.concatenate([[0.0], np.cumsum(each_bar)])
+            mean = (total[last] - total[first]) / (b - a)
+            chosen = np.empty(size, np.int64)
+            for k in range(size):
+                share = np.cumsum(mean)
+                x = min(int(share.searchsorted(uniform(seed, *map(str, key), replicate, k) * share[-1], side="right")), len(names) - 1)
+                chosen[k] = x
+                i, j = starts[x], ends[x]
+                draws[i:j] += 1
+                each_bar[i:j] = width[i:j] / (1 + draws[i:j])
+                met = order[low[x] : high[x]]
+                near, far = max(0, i - reach), min(len(width), j + reach)
+                total = np.zeros(far - near + 1)
+                np.cumsum(each_bar[near:far], out=total[1:])
+                met = met[last[met] > i]
+                mean[met] = (total[last[met] - near] - total[first[met] - near]) / (b[met] - a[met])
+            frames.append(pd.DataFrame({**{g: [v] * size for g, v in zip(group, key)}, "replicate": replicate, "draw": np.arange(size), event: names[chosen]}))
+        return pd.concat(frames)
 
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = ", ".join([*(f"{g} {types[g]}" for g in group), "replicate int, draw int", f"{event} {types[event]}"])
-    return each.groupBy(*group, "replicate").applyInPandas(drawn, schema)
+    return each.groupBy(*group, "_part").applyInPandas(drawn, schema)
