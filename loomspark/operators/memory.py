@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from loomspark.operators.time_series import _adf_t_of_ends, fracdiff_weights
 
 #: Replicates of a group that one task draws.
 SIDE_BY_SIDE = 4
+#: Events, of whole groups, that a task takes up at a time; numbers of the replicates that draw side by side; draws of a
+#: replicate that are hashed at a time.
+ROWS, CELLS, STEPS = 1 << 17, 1 << 21, 1 << 10
 #: Windows, in dates, over which crowding is measured.
 CROWDING_WINDOWS = (10, 20, 30, 40, 50, 60)
 
@@ -119,52 +123,182 @@ def uniform(*parts) -> float:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=7).digest(), "big") / 2**56
 
 
+def _uniforms(prefix: str, ends: list[bytes]) -> np.ndarray:
+    """``uniform`` of parts that begin alike, whose spellings are the prefix and each of the ends."""
+    base, digest = hashlib.blake2b(prefix.encode(), digest_size=7), bytearray()
+    for end in ends:
+        h = base.copy()
+        h.update(end)
+        digest += h.digest()
+    numbers = np.zeros((len(ends), 8), np.uint8)
+    numbers[:, 1:] = np.frombuffer(digest, np.uint8).reshape(-1, 7)
+    return numbers.view(">u8").ravel().astype(float) / 2**56
+
+
+class _Events:
+    """Events of a group in their order, by the edges of their bars: between two edges all bars are alike."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, prefixes: list[str], size: int):
+        self.prefixes, self.size, self.length = prefixes, size, b - a
+        edges = np.unique(np.concatenate([a, b]))
+        self.first, self.last, self.width = np.searchsorted(edges, a), np.searchsorted(edges, b), np.diff(edges).astype(float)
+        # by their first bar: those that meet an event are in one range of them, as none is longer than the longest
+        self.order = np.argsort(self.first, kind="stable")
+        by_first = self.first[self.order]
+        self.reach = int((self.last - self.first).max())
+        self.low, self.high = np.searchsorted(by_first, self.first - self.reach, side="right"), np.searchsorted(by_first, self.last)
+        total = np.concatenate([[0.0], np.cumsum(self.width)])
+        self.mean = (total[self.last] - total[self.first]) / self.length
+
+    def cells(self) -> int:
+        """Numbers that a replicate takes."""
+        return len(self.first) + len(self.width) + 4 * self.reach
+
+
+def _together(groups: list[_Events]) -> list[list[_Events]]:
+    """The groups in sets to be drawn side by side: of like reach and size, and not of more cells than ``CELLS``
+    unless a group alone has them."""
+    sets: list[list[_Events]] = []
+    most = lanes = 0
+    for g in sorted(groups, key=lambda g: (g.reach.bit_length(), len(g.first)), reverse=True):
+        most, lanes = max(most, g.cells()), lanes + len(g.prefixes)
+        if not sets or lanes * most > CELLS or 4 * g.reach < sets[-1][0].reach:
+            sets.append([])
+            most, lanes = g.cells(), len(g.prefixes)
+        sets[-1].append(g)
+    return [sorted(s, key=lambda g: -g.size) for s in sets]
+
+
+def _draws(groups: list[_Events]) -> list[np.ndarray]:
+    """The places of the events drawn, an array for each group and prefix. A lane is a replicate of a group, and a step
+    one draw of each lane. Shares are kept with their sums over blocks, so that a draw adds up as many numbers as the
+    root of the events, and changes the shares of the events that meet it alone. Groups by descending size."""
+    owner = np.repeat(np.arange(len(groups)), [len(g.prefixes) for g in groups])
+    lanes = len(owner)
+    at = np.cumsum([0, *(len(g.first) for g in groups)])[:-1]
+    first, last, length, low, high = (np.concatenate([getattr(g, c) for g in groups]) for c in ("first", "last", "length", "low", "high"))
+    order = np.concatenate([g.order + e for g, e in zip(groups, at.tolist())])
+    events, reach, size, at = (np.array(x)[owner] for x in ([len(g.first) for g in groups], [g.reach for g in groups], [g.size for g in groups], at))
+    row = np.arange(lanes)
+
+    block = int(max(events) ** 0.5) + 1
+    blocks = -(-int(max(events)) // block)
+    mean = np.zeros((lanes, blocks * block))
+    far = int(max(reach))
+    bars = max(len(g.width) for g in groups)
+    stride = far + bars
+    width = np.zeros(lanes * stride + 3 * far)  # a lane's bars begin after as many cells as the longest event has
+    each = width[: lanes * stride].reshape(lanes, stride)
+    for k, g in enumerate(owner.tolist()):
+        mean[k, : events[k]] = groups[g].mean
+        each[k, far : far + len(groups[g].width)] = groups[g].width
+    drawn, each_bar = np.ones(len(width)), width.copy()
+    sums, last_block = mean.reshape(lanes, blocks, block).sum(2), (events - 1) // block
+    flat, flat_sums, in_blocks, three = mean.ravel(), sums.ravel(), mean.reshape(-1, block), mean.reshape(lanes, blocks, block)
+    begin_of_lane, columns, window, touched = row * stride + far, np.arange(far), np.arange(3 * far), np.zeros(lanes * blocks, bool)
+
+    chosen = np.zeros((lanes, int(max(size))), np.int64)
+    for step in range(int(max(size))):
+        n = int(np.searchsorted(-size, -step))  # lanes that still draw
+        if step % STEPS == 0:
+            ends = [b"%d)" % k for k in range(step, min(step + STEPS, int(max(size))))]
+            share = np.array([_uniforms(p, ends) for g in groups for p in g.prefixes][:n]).T.copy()
+        e, some = at[:n], row[:n]
+        total = sums[:n].cumsum(1)
+        want = share[step % STEPS, :n] * total[:, -1]
+        b = np.minimum((total <= want[:, None]).sum(1), last_block[:n])
+        want -= np.where(b > 0, total[some, b - 1], 0.0)
+        x = (three[some, b].cumsum(1) <= want[:, None]).sum(1)
+        x = np.minimum(b * block + np.minimum(x, block - 1), events[:n] - 1)
+        chosen[:n, step] = x
+        x = x + e
+
+        i = first[x]
+        bar = begin_of_lane[:n] + i
+        cover = (bar[:, None] + columns)[columns < (last[x] - i)[:, None]]
+        drawn[cover] += 1
+        each_bar[cover] = width[cover] / drawn[cover]
+        near = reach[:n]
+        total = np.zeros((n, 3 * far + 1))
+        np.cumsum(each_bar[(bar - near)[:, None] + window], axis=1, out=total[:, 1:])
+
+        many = high[x] - low[x]
+        lane = np.repeat(some, many)
+        met = order[np.arange(len(lane)) + np.repeat(e + low[x] - (np.cumsum(many) - many), many)]
+        keep = last[met] > i[lane]
+        lane, met = lane[keep], met[keep]
+        place = (some * (3 * far + 1) + near - i)[lane]
+        total = total.ravel()
+        share_of = (total[place + last[met]] - total[place + first[met]]) / length[met]
+        cell = lane * (blocks * block) + met - e[lane]
+        flat[cell] = share_of
+        touched[cell // block] = True
+        hit = np.flatnonzero(touched[: n * blocks])
+        flat_sums[hit] = in_blocks[hit].sum(1)
+        touched[hit] = False
+    return [chosen[k, : size[k]] for k in range(lanes)]
+
+
 def sequential_bootstrap(events: DataFrame, event: str, start: str, end: str, replicates: int, length: int | None = None, seed: int = 0, group: Sequence[str] = ()) -> DataFrame:
     """group, replicate, draw, event: events drawn one after the other, those more likely that add new bars.
 
     start, end: the first and last bar of each event, whole numbers. A draw's probability is proportional to the mean,
     over the event's bars, of one over one more than the draws so far that cover the bar. length: draws of each
-    replicate, by default as many as the group has events. Some replicates of a group are drawn side by side; its bars
-    are kept as the ends of intervals, and draws are hashed, so that they are the same whenever they are repeated. A draw
-    changes the shares of the events that meet it alone; these are found once.
+    replicate, by default as many as the group has events. Some replicates of a group are in one task, which takes up
+    whole groups and makes the k-th draw of many of them in one step; its bars are kept as the ends of intervals, and
+    draws are hashed, so that they are the same whenever they are repeated. A draw changes the shares of the events that
+    meet it alone. A task holds ``ROWS`` events at a time, or those of a group that has more.
     """
+    keys = [*group, "_part"]
     each = events.select(*group, event, F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
     each = each.filter("_a <= _b").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // SIDE_BY_SIDE))))
-
-    def drawn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(event)
-        names, a, b = part[event].to_numpy(), part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64) + 1
-        key, begin = [part[g].iloc[0] for g in group], int(part["_part"].iloc[0]) * SIDE_BY_SIDE
-        edges = np.unique(np.concatenate([a, b]))  # between two of them all bars are alike
-        first, last, width = np.searchsorted(edges, a), np.searchsorted(edges, b), np.diff(edges)
-        # events by their first bar: those that meet an event are in one range of them, as none is longer than the longest
-        order = np.argsort(first, kind="stable")
-        by_first = first[order]
-        reach = int((last - first).max())
-        low, high = np.searchsorted(by_first, first - reach, side="right"), np.searchsorted(by_first, last)
-        starts, ends = first.tolist(), last.tolist()
-        size, frames = len(names) if length is None else length, []
-        for replicate in range(begin, min(begin + SIDE_BY_SIDE, replicates)):
-            each_bar, draws = width.astype(float), np.zeros(len(width))
-            total = np.concatenate([[0.0], np.cumsum(each_bar)])
-            mean = (total[last] - total[first]) / (b - a)
-            chosen = np.empty(size, np.int64)
-            for k in range(size):
-                share = np.cumsum(mean)
-                x = min(int(share.searchsorted(uniform(seed, *map(str, key), replicate, k) * share[-1], side="right")), len(names) - 1)
-                chosen[k] = x
-                i, j = starts[x], ends[x]
-                draws[i:j] += 1
-                each_bar[i:j] = width[i:j] / (1 + draws[i:j])
-                met = order[low[x] : high[x]]
-                near, far = max(0, i - reach), min(len(width), j + reach)
-                total = np.zeros(far - near + 1)
-                np.cumsum(each_bar[near:far], out=total[1:])
-                met = met[last[met] > i]
-                mean[met] = (total[last[met] - near] - total[first[met] - near]) / (b[met] - a[met])
-            frames.append(pd.DataFrame({**{g: [v] * size for g, v in zip(group, key)}, "replicate": replicate, "draw": np.arange(size), event: names[chosen]}))
-        return pd.concat(frames)
-
+    dealt = each.repartition(*keys).sortWithinPartitions(*keys, F.col(event).asc_nulls_last(), "_a", "_b")
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = ", ".join([*(f"{g} {types[g]}" for g in group), "replicate int, draw int", f"{event} {types[event]}"])
-    return each.groupBy(*group, "_part").applyInPandas(drawn, schema)
+
+    def of_groups(table: pa.Table, edges: list[int]):
+        names, parts = [table.column(g) for g in group], table.column("_part").to_numpy()
+        a, b = table.column("_a").to_numpy(), table.column("_b").to_numpy() + 1
+        firsts = pa.array(edges[:-1])
+        spelt, groups = zip(*(c.take(firsts).to_pylist() for c in names)) if names else [()] * len(firsts), []
+        for key, x, y in zip(spelt, edges, edges[1:]):
+            begin = int(parts[x]) * SIDE_BY_SIDE
+            own = range(begin, min(begin + SIDE_BY_SIDE, replicates))
+            found = _Events(a[x:y], b[x:y], [repr((seed, *map(str, key), k))[:-1] + ", " for k in own], y - x if length is None else length)
+            found.begin, found.replicates = x, own
+            groups.append(found)
+        for some in _together(groups):
+            lanes = [(g, k) for g in some for k in g.replicates]
+            chosen, sizes = _draws(some), [g.size for g, _ in lanes]
+            begins = np.repeat([g.begin for g, _ in lanes], sizes)
+            drawn = pa.array(np.concatenate(chosen) + begins)
+            replicate, draw = np.repeat([k for _, k in lanes], sizes), np.concatenate([np.arange(n) for n in sizes])
+            out = [*(c.take(pa.array(begins)) for c in names), pa.array(replicate, pa.int32()), pa.array(draw, pa.int32()), table.column(event).take(drawn)]
+            yield from pa.Table.from_arrays(out, [*group, "replicate", "draw", event]).to_batches(max_chunksize=1 << 16)
+
+    def compute(batches):
+        held, rows, most = [], 0, ROWS
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:  # all groups but the last, which may go on
+                table = pa.Table.from_batches(held)
+                edges = _edges(table, keys)
+                if len(edges) > 2:
+                    yield from of_groups(table, edges[:-1])
+                rest = table.slice(edges[-2])
+                held, rows, most = rest.to_batches(), rest.num_rows, max(ROWS, 2 * rest.num_rows)
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield from of_groups(table, _edges(table, keys))
+
+    return dealt.mapInArrow(compute, schema)
+
+
+def _edges(table: pa.Table, keys: Sequence[str]) -> list[int]:
+    """Where the runs of equal keys begin, and the end."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
